@@ -53,11 +53,12 @@ def _best_first() -> list:
     return ["node", "h", "sha", F.col("n").desc(), F.col("doc_id").asc_nulls_last(), "seq"]
 
 
-def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, extra: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree after all ASCII white space is deleted. The longest original
     text stays, then the smallest id. ``bits``: 2^bits runs meet in one merge.
+    ``extra``: a column to carry along, as ``extra``.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -67,6 +68,7 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.char_length(text).alias("n"),
         F.spark_partition_id().cast("long").alias("node"),
         F.monotonically_increasing_id().alias("seq"),
+        *([F.col(extra).alias("extra")] if extra else []),
     ).withColumn("h", F.xxhash64("sha"))
     rows = stage(rows, "digests")
     runs = (
@@ -97,4 +99,5 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("seq") == F.col("keep_seq")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         F.col("seq").alias("row_seq"),
+        *(["extra"] if extra else []),
     )
