@@ -82,11 +82,12 @@ def test_blocks_of_large_regions(spark):
     texts = corpus(7, 3, 40)
     ids = list(range(len(texts)))
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    once = jj.stage(jj.points(df, "doc_id", "text"), "t").where("set is not null").dropDuplicates(["key", "n"]).select("key", "n", "set", "sketch")
-    cells = jj.regions(once, np.zeros(0, np.uint64))
+    sets = jj.stage(jj.points(df, "doc_id", "text"), "t").where("set is not null")
+    sketches = sets.dropDuplicates(["key", "n"]).select("key", "n", "row_seq", "sketch")
+    cells = jj.regions(sets, np.zeros(0, np.uint64))
     none = spark.createDataFrame([], "u struct<key:long,n:long>, label struct<key:long,n:long>")
-    whole = {tuple(r) for r in jj.verified(jj.rest_pairs(cells, none, once, block=4096), once, sketches=False).collect()}
-    small = {tuple(r) for r in jj.verified(jj.rest_pairs(cells, none, once, block=3), once, sketches=False).collect()}
+    whole = {tuple(r) for r in jj.verified(jj.rest_pairs(cells, none, sketches, block=4096), sketches, sets).collect()}
+    small = {tuple(r) for r in jj.verified(jj.rest_pairs(cells, none, sketches, block=3), sketches, sets).collect()}
     assert whole == small and whole
 
 

@@ -277,32 +277,66 @@ def star_pairs(cells: DataFrame) -> DataFrame:
     return cells.select("keys", "sizes").mapInArrow(run, "a long, na long, b long, nb long").dropDuplicates()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sketches: bool = True) -> DataFrame:
-    """The pairs that link. Sketches exclude most others before whole sets are moved."""
-    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, nb, sa, sb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
-                w = min(len(sa), len(sb))
-                keep.append(int(np.bitwise_count(fold(sa, w) ^ fold(sb, w)).sum()) <= most_apart(na, nb))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=batch.schema.names[:4])
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for na, nb, sa, sb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+            w = min(len(sa), len(sb))
+            keep.append(int(np.bitwise_count(fold(sa, w) ^ fold(sb, w)).sum()) <= most_apart(na, nb))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=batch.schema.names[:4])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for na, nb, xa, xb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+            both = len(np.intersect1d(unpack48(xa), unpack48(xb), assume_unique=True))
+            keep.append(100 * both >= PERCENT * (na + nb - both))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=batch.schema.names[:4])
+
+
+PAIR = "a long, na long, b long, nb long"
+#: Bits of the table that keeps most sets that no pair needs out of the shuffle. It may let some through; the join drops them.
+SLOTS = 1 << 22
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that their sketches do not exclude."""
+    a = sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(a, ["a", "na"]).join(b, ["b", "nb"]).select("a", "na", "b", "nb", "sa", "sb").mapInArrow(_near, PAIR)
+
+
+def needed_sets(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """key, n, set of the points in ``pairs``: one row each."""
+    ends = pairs.select(F.col("a").alias("key"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("key"), F.col("nb").alias("n"))).dropDuplicates()
+    wanted = stage(ends.join(sketches.select("key", "n", "row_seq"), ["key", "n"]), "wanted")
+    slot = F.pmod(F.xxhash64("row_seq"), F.lit(SLOTS))
+    words = wanted.groupBy(F.shiftright(slot, 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(32)).cast("int"))).alias("bits"))
+    table = np.zeros(SLOTS // 32, np.int64)
+    for r in words.collect():  # at most SLOTS / 32 rows
+        table[r["word"]] = r["bits"]
+    bits = sets.sparkSession.sparkContext.broadcast(table)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, nb, xa, xb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
-                both = len(np.intersect1d(unpack48(xa), unpack48(xb), assume_unique=True))
-                keep.append(100 * both >= PERCENT * (na + nb - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=batch.schema.names[:4])
-
-    names = ["a", "na", "b", "nb"]
-    if sketches:
-        pairs = pairs.join(a, ["a", "na"]).join(b, ["b", "nb"]).select(*names, "sa", "sb").mapInArrow(near, "a long, na long, b long, nb long")
-    wa, wb = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa")), sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb"))
-    return pairs.join(wa, ["a", "na"]).join(wb, ["b", "nb"]).select(*names, "xa", "xb").mapInArrow(linked, "a long, na long, b long, nb long")
+            slots = batch.column(1).to_numpy()
+            keep = (bits.value[slots >> 5] >> (slots & 31)) & 1
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    some = sets.select("row_seq", slot.alias("slot"), "set").mapInArrow(likely, "row_seq long, slot long, set binary")
+    return stage(some.join(wanted, "row_seq").select("key", "n", "set"), "needed")
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, by comparing whole sets; only sets that a pair needs are moved."""
+    pairs = stage(pairs, "pairs")
+    whole = needed_sets(pairs, sketches, sets)
+    a = whole.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa"))
+    b = whole.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb"))
+    out = stage(pairs.join(a, ["a", "na"]).join(b, ["b", "nb"]).select("a", "na", "b", "nb", "xa", "xb").mapInArrow(_linked, PAIR), "links")
+    discard(pairs, whole)
+    return out
 
 
 def components(links: DataFrame, tag: str) -> DataFrame:
@@ -310,13 +344,14 @@ def components(links: DataFrame, tag: str) -> DataFrame:
     id_of = lambda k, n: F.struct(F.col(k).alias("key"), F.col(n).alias("n"))
     ends = links.select(id_of("a", "na").alias("u"), id_of("b", "nb").alias("v"))
     edges = stage(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).dropDuplicates(), f"{tag}-edges")
-    labels = stage(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), f"{tag}-labels")
+    labels = new = stage(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), f"{tag}-labels")
     while True:
         around = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("around"))
         near = labels.join(around, "u").select("u", F.col("label").alias("was"), F.least("label", "around").alias("label"))
         near = stage(near, f"{tag}-near")
         up = near.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        new = stage(near.join(up, "label", "left").select("u", "was", F.coalesce(F.least("up", "label"), "label").alias("label")), f"{tag}-labels")
+        old, new = new, stage(near.join(up, "label", "left").select("u", "was", F.coalesce(F.least("up", "label"), "label").alias("label")), f"{tag}-labels")
+        discard(old, near)
         labels = new.select("u", "label")
         if new.where("label <> was").isEmpty():
             return labels
@@ -363,7 +398,7 @@ def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.nd
     return [(a, b) if a < b else (b, a) for a, b in found]
 
 
-def rest_pairs(cells: DataFrame, labels: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
+def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = 1024) -> DataFrame:
     """Step 3: pairs of a region that are not in one component and that no bound excludes."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +428,7 @@ def rest_pairs(cells: DataFrame, labels: DataFrame, sets: DataFrame, block: int
         )
     )
     tasks = dealt.select("cell", "key", "n", "comp", "core", "mine", F.inline(others))
-    tasks = tasks.join(sets.select("key", "n", "sketch"), ["key", "n"])
+    tasks = tasks.join(sketches.select("key", "n", "sketch"), ["key", "n"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -426,7 +461,7 @@ def rest_pairs(cells: DataFrame, labels: DataFrame, sets: DataFrame, block: int
         if len(held) > 1:
             yield close()
 
-    width = partitions(sets.sparkSession)
+    width = partitions(sketches.sparkSession)
     spread = tasks.repartition(width, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "key")
     return spread.mapInArrow(join, "a long, na long, b long, nb long").dropDuplicates()
 
@@ -435,12 +470,13 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(one row per input row: doc_id, row_seq, n_shingles, component_id), (links between points: a, na, b, nb that tie the components)."""
     rows = stage(points(docs, id_col, text_col), "points")
     sets = rows.where(F.col("set").isNotNull())
-    one = sets.groupBy("key", "n").agg(F.count("*").alias("tasks"), F.min("row_seq").alias("row_seq"))
-    once = stage(sets.join(one.select("row_seq"), "row_seq").select("key", "n", "set", "sketch"), "sets")
-    cells = regions(once, frequent_shingles(once))
-    stars = stage(verified(star_pairs(cells), once), "stars")
+    first = F.min_by(F.struct("row_seq", "sketch"), "row_seq").alias("first")
+    sketches = stage(sets.groupBy("key", "n").agg(first).select("key", "n", "first.row_seq", "first.sketch"), "sketches")
+    cells = regions(sets, frequent_shingles(sets))
+    stars = verified(near_pairs(star_pairs(cells), sketches), sketches, sets)
     labels = components(stars, "stars")
-    more = stage(verified(rest_pairs(cells, labels, once), once, sketches=False), "rest")
+    more = verified(rest_pairs(cells, labels, sketches), sketches, sets)
+    discard(cells)
     links = stars.unionByName(more)
     if not more.isEmpty():
         labels = components(links, "links")
