@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import bounds, partitions, small_batches, stage, texts_of
+from weftline.llm.shared import bounds, discard, partitions, small_batches, stage, texts_of
 
 WORDS, PERCENT = 5, 80
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
