@@ -91,10 +91,10 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def sketch(values: np.ndarray) -> bytes:
+def sketch(values: np.ndarray, bits_each: int = 1) -> bytes:
     """Parity of the hashes per bit, of a width (a power of two, 64 at least) that grows with the set."""
     width = 64
-    while width < len(values):
+    while width < bits_each * len(values):
         width *= 2
     bits = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
@@ -328,10 +328,19 @@ def needed_sets(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataF
     return stage(some.join(wanted, "row_seq").select("key", "n", "set"), "needed")
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(unpack48(x), 8) for x in batch.column(2).to_pylist()], pa.binary())], names=["key", "n", "sketch"])
+
+
 def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by comparing whole sets; only sets that a pair needs are moved."""
+    """The pairs that link, by comparing whole sets, after wider sketches have excluded most near misses; only sets that a pair needs are moved."""
     pairs = stage(pairs, "pairs")
     whole = needed_sets(pairs, sketches, sets)
+    wide = stage(whole.mapInArrow(_wide, "key long, n long, sketch binary"), "wide")
+    near = stage(near_pairs(pairs, wide), "near-pairs")
+    discard(pairs, wide)
+    pairs = near
     a = whole.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa"))
     b = whole.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb"))
     out = stage(pairs.join(a, ["a", "na"]).join(b, ["b", "nb"]).select("a", "na", "b", "nb", "xa", "xb").mapInArrow(_linked, PAIR), "links")
