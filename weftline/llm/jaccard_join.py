@@ -11,7 +11,7 @@ intersection / union >= 0.8, that is within distance 0.2.
 2. Each region's smallest point is its pivot. All members are compared with it exactly, and linked
    ones form components. Pairs inside a component need no further comparison.
 3. What is left of a region, members outside the pivot's component among themselves and against it,
-   is joined recursively: pivots of the second level split it into Voronoi regions under the
+   is joined recursively, first for each member's likeliest partner and then for all: pivots of the second level split it into Voronoi regions under the
    Hamming distance of parity sketches (a lower bound of the sets' symmetric difference), boundary
    points are copied where the triangle inequality allows a partner across, and the leaves compare
    sketches within windows of the distance to the pivot. Large regions are dealt out in blocks.
@@ -366,7 +366,7 @@ def components(links: DataFrame, tag: str) -> DataFrame:
             return labels
 
 
-def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, best: bool) -> list[tuple[int, int]]:
     """Pairs of left and right members that no bound excludes, in windows of the distance h to the pivot."""
     out = []
     order = right[np.argsort(h[right], kind="stable")]
@@ -378,11 +378,13 @@ def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, rig
         y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
         if len(y):
             apart = np.bitwise_count(words[y] ^ words[x]).sum(1)
+            if best:
+                y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
             out += [(x, b) for b in y[apart <= most_apart(n[y], n[x])].tolist()]
     return out
 
 
-def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.ndarray, leaf: int = 256, pivots: int = 8) -> list[tuple[int, int]]:
+def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.ndarray, leaf: int = 256, pivots: int = 8, best: bool = False) -> list[tuple[int, int]]:
     """Candidate pairs of different components, not both in the core: recursive regions under the sketches' Hamming distance."""
     found: list[tuple[int, int]] = []
     work = [np.arange(len(n))]
@@ -401,14 +403,14 @@ def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.nd
         if len(mine) <= leaf or sizes.max() > 0.7 * len(mine):
             h = np.zeros(len(n), np.int64)
             h[mine] = d[:, 0]
-            found += _leaf(h, n, words, rest, mine, comp)
+            found += _leaf(h, n, words, rest, mine, comp, best)
         else:
             work += [mine[inside[:, j]] for j in range(len(step)) if (home == j).any()]
     return [(a, b) if a < b else (b, a) for a, b in found]
 
 
-def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = 1024) -> DataFrame:
-    """Step 3: pairs of a region that are not in one component and that no bound excludes."""
+def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = 1024, best: bool = False) -> DataFrame:
+    """Step 3: pairs of a region that are not in one component and that no bound excludes; with ``best``, each member's likeliest only."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,7 +452,7 @@ def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block:
             comp = np.array([r["comp"] for r in held], np.int64)
             core = np.array([r["core"] for r in held])
             pairs = set()
-            for x, y in voronoi_join(n, words, comp, core):
+            for x, y in voronoi_join(n, words, comp, core, best=best):
                 p, q = sorted(((held[x]["key"], held[x]["n"]), (held[y]["key"], held[y]["n"])))
                 pairs.add((*p, *q))
             new = list(pairs - met)
@@ -484,11 +486,14 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cells = regions(sets, frequent_shingles(sets))
     stars = verified(near_pairs(star_pairs(cells), sketches), sketches, sets)
     labels = components(stars, "stars")
-    more = verified(rest_pairs(cells, labels, sketches), sketches, sets)
+    links = stars
+    # First each member's likeliest partner alone, which ties most of a group together with few pairs; then all that is left.
+    for best in (True, False):
+        more = verified(rest_pairs(cells, labels, sketches, best=best), sketches, sets)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links, "links")
     discard(cells)
-    links = stars.unionByName(more)
-    if not more.isEmpty():
-        labels = components(links, "links")
     least = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.select(F.col("u.key").alias("key"), F.col("u.n").alias("n"), "label"), ["key", "n"], "left").withColumn("label", F.coalesce("label", F.struct("key", "n")))
     named = stage(named, "named")
