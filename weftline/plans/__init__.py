@@ -1 +1 @@
-"""Part of weftline."""
+"""How the supplied tables stand for models, reports and query logs."""
