@@ -255,9 +255,9 @@ def _snapshot(spark, d, where):
     return o.groupBy(key).agg(F.min(kind).alias("kind"), F.min(names.fold_name(F.col("o_orderpriority"))).alias("subject"))
 
 
-_BEFORE, _AFTER = "o_orderdate < timestamp_ntz '1994-01-01'", "o_orderdate >= timestamp_ntz '1997-06-01'"
+_BEFORE, _AFTER = "o_orderdate < timestamp_ntz '1998-01-01'", "o_orderdate >= timestamp_ntz '1997-06-01'"
 _SNAP = "select lower(o_orderpriority || chr(31) || cast(o_custkey % 4000 as varchar)) as key, min(case when o_orderstatus = 'P' then 'duplicate_measure' else 'unused' end) as kind, min(lower(o_orderpriority)) as subject from orders where {} group by 1"
-_SNAPS = "b as (" + _SNAP.format("o_orderdate < timestamp '1994-01-01'") + "), a as (" + _SNAP.format("o_orderdate >= timestamp '1997-06-01'") + ")"
+_SNAPS = "b as (" + _SNAP.format("o_orderdate < timestamp '1998-01-01'") + "), a as (" + _SNAP.format("o_orderdate >= timestamp '1997-06-01'") + ")"
 
 
 @query(f"with {_SNAPS} select a.key, case when b.key is not null then 'existing' else 'new' end as status from a left join b using (key)")
