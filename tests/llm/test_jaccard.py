@@ -94,3 +94,22 @@ def test_blocks_of_large_regions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jj.link_groups(df)[0].count() == 0 and jj.keep_one(df).count() == 0
+
+
+def test_spanning_forest_ties_what_all_pairs_tie():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 300):
+        pairs = rng.integers(0, 120, (size, 3))
+        comp = rng.integers(0, 90, 120)
+        own = [(i, int(np.flatnonzero(comp == comp[i])[0])) for i in range(120)]
+
+        def classes(edges):
+            root = list(range(120))
+            for a, b in edges:
+                a, b = root[a], root[b]
+                root = [a if r == b else r for r in root]
+            return [[i for i in range(120) if root[i] == root[j]] for j in range(120)]
+
+        forest = jj.spanning_forest(pairs, comp)
+        assert classes(own + pairs[:, :2].tolist()) == classes(own + forest[:, :2].tolist())
+        assert len(forest) == len({*map(tuple, classes(own))}) - len({*map(tuple, classes(own + forest[:, :2].tolist()))})

@@ -11,9 +11,9 @@ intersection / union >= 0.8, that is within distance 0.2.
 2. Each region's smallest point is its pivot. All members are compared with it exactly, and linked
    ones form components. Pairs inside a component need no further comparison.
 3. What is left of a region, members outside the pivot's component among themselves and against it,
-   is joined recursively, first for each member's likeliest partner and then for all: pivots of the second level split it into Voronoi regions under the
-   Hamming distance of parity sketches (a lower bound of the sets' symmetric difference), boundary
-   points are copied where the triangle inequality allows a partner across, and the leaves compare
+   is joined recursively, first for the likeliest pairs that span it and then for all: pivots of the
+   second level split it into Voronoi regions under the Hamming distance of parity sketches (a lower
+   bound of the sets' symmetric difference), boundary points are copied where the triangle inequality allows a partner across, and the leaves compare
    sketches within windows of the distance to the pivot. Large regions are dealt out in blocks.
    Pairs that no bound excludes are compared exactly.
 Bounds only exclude pairs that cannot link, so nothing is lost. Frequent shingles (the order) are
@@ -366,9 +366,9 @@ def components(links: DataFrame, tag: str) -> DataFrame:
             return labels
 
 
-def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, best: bool) -> list[tuple[int, int]]:
-    """Pairs of left and right members that no bound excludes, in windows of the distance h to the pivot."""
-    out = []
+def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Pairs of left and right members that no bound excludes, in windows of the distance h to the pivot: rows of smaller, larger index, distance per mille of both sizes."""
+    out = [np.zeros((0, 3), np.int64)]
     order = right[np.argsort(h[right], kind="stable")]
     hs = h[order]
     reach = most_apart(n[left], (n[left] * 100) // PERCENT + 1)  # a partner is at most 5/4 as large
@@ -377,16 +377,44 @@ def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, rig
         y = order[a:z]
         y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
         if len(y):
-            apart = np.bitwise_count(words[y] ^ words[x]).sum(1)
-            if best:
-                y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
-            out += [(x, b) for b in y[apart <= most_apart(n[y], n[x])].tolist()]
-    return out
-
-
-def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.ndarray, leaf: int = 256, pivots: int = 8, best: bool = False) -> list[tuple[int, int]]:
-    """Candidate pairs of different components, not both in the core: recursive regions under the sketches' Hamming distance."""
-    found: list[tuple[int, int]] = []
+            apart = np.bitwise_count(words[y] ^ words[x]).sum(1).astype(np.int64)
+            near = apart <= most_apart(n[y], n[x])
+            y, apart = y[near], apart[near]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), 1000 * apart // (n[y] + n[x])], 1))
+    return np.concatenate(out)
+
+
+def spanning_forest(pairs: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Lightest pairs (x, y, weight) that tie together whatever ``pairs`` tie, members of one component being tied already: rounds in which each tree takes its lightest pair to another."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))]
+    label = np.unique(comp, return_inverse=True)[1]
+    kept = [pairs[:0]]
+    while True:
+        u, v = label[pairs[:, 0]], label[pairs[:, 1]]
+        across = u != v
+        pairs, u, v = pairs[across], u[across], v[across]
+        if not len(pairs):
+            return np.concatenate(kept)
+        place, lightest = np.arange(len(pairs)), np.full(len(label), len(pairs))
+        np.minimum.at(lightest, u, place)
+        np.minimum.at(lightest, v, place)
+        took = np.unique(lightest[lightest < len(pairs)])
+        kept.append(pairs[took])
+        root = np.arange(len(label))
+        for a, b in zip(u[took].tolist(), v[took].tolist(), strict=True):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        while (root != root[root]).any():
+            root = root[root]
+        label = root[label]
+
+
+def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.ndarray, leaf: int = 256, pivots: int = 8, forest: bool = False) -> list[tuple[int, int]]:
+    """Candidate pairs of different components, not both in the core: recursive regions under the sketches' Hamming distance; with ``forest``, the lightest that tie as much together."""
+    found = [np.zeros((0, 3), np.int64)]
     work = [np.arange(len(n))]
     while work:
         mine = work.pop()
@@ -403,14 +431,16 @@ def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.nd
         if len(mine) <= leaf or sizes.max() > 0.7 * len(mine):
             h = np.zeros(len(n), np.int64)
             h[mine] = d[:, 0]
-            found += _leaf(h, n, words, rest, mine, comp, best)
+            pairs = _leaf(h, n, words, rest, mine, comp)
+            found.append(spanning_forest(pairs, comp) if forest else np.unique(pairs, axis=0))
         else:
             work += [mine[inside[:, j]] for j in range(len(step)) if (home == j).any()]
-    return [(a, b) if a < b else (b, a) for a, b in found]
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return [(a, b) for a, b, _ in (spanning_forest(pairs, comp) if forest else pairs).tolist()]
 
 
-def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = 1024, best: bool = False) -> DataFrame:
-    """Step 3: pairs of a region that are not in one component and that no bound excludes; with ``best``, each member's likeliest only."""
+def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = 1024, forest: bool = False) -> DataFrame:
+    """Step 3: pairs of a region that are not in one component and that no bound excludes; with ``forest``, of each block only the likeliest that tie it together."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,7 +482,7 @@ def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block:
             comp = np.array([r["comp"] for r in held], np.int64)
             core = np.array([r["core"] for r in held])
             pairs = set()
-            for x, y in voronoi_join(n, words, comp, core, best=best):
+            for x, y in voronoi_join(n, words, comp, core, forest=forest):
                 p, q = sorted(((held[x]["key"], held[x]["n"]), (held[y]["key"], held[y]["n"])))
                 pairs.add((*p, *q))
             new = list(pairs - met)
@@ -487,9 +517,9 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = verified(near_pairs(star_pairs(cells), sketches), sketches, sets)
     labels = components(stars, "stars")
     links = stars
-    # First each member's likeliest partner alone, which ties most of a group together with few pairs; then all that is left.
-    for best in (True, False):
-        more = verified(rest_pairs(cells, labels, sketches, best=best), sketches, sets)
+    # First the likeliest pairs that span each block, which tie most of a group together with few pairs; then all that is left.
+    for forest in (True, False):
+        more = verified(rest_pairs(cells, labels, sketches, forest=forest), sketches, sets)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, "links")
