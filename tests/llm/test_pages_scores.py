@@ -26,6 +26,21 @@ def test_template_drops_what_is_the_same_on_all_pages(spark):
     assert all(r.text == f"story {r.page_id} " * 19 + f"story {r.page_id}" for r in html_extract.extract(df).collect())
 
 
+def _texts(spark, pages, host="http://h/"):
+    df = spark.createDataFrame([(i, host, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(df).collect()}
+
+
+def test_template_words_inside_articles(spark):
+    page = "<article><h1>Title {0}</h1><p>Story {0} told.</p><p>Mind the house rules.</p></article>"
+    got = _texts(spark, [page.format(i) for i in range(5)])
+    assert got == {i: f"Title {i}\n\nStory {i} told." for i in range(5)}
+    # a quotation that only some pages share stands in no container's class
+    got = _texts(spark, [f"<article><p>Own {i}.</p>{'<p>Shared.</p>' if i < 3 else ''}</article>" for i in range(5)])
+    assert got == {i: f"Own {i}." + ("\n\nShared." if i < 3 else "") for i in range(5)}
+    assert _texts(spark, ["<article><p>Copy.</p></article>"] * 4) == {i: "Copy." for i in range(4)}
+
+
 def test_scores_learn_and_hold_out(spark):
     r = random.Random(4)
     docs, labels = [], []

@@ -1,19 +1,19 @@
 """Main text of pages by deducing each host's template.
 
-1. Every page becomes a sequence of tokens: openings and closings of its containers, named by their
-   path of tags and class words. Per host, each token's occurrence vector over the pages is kept as
-   a fingerprint (exclusive-or of hashes of page and count), which adds up in any order, so no
-   host's pages are ever gathered. Tokens of one fingerprint form an equivalence class.
-2. A class is valid if it stands on two pages or more and has the opening and closing of its
-   containers. Valid classes nest by their paths into the host's template; what lies between their
-   tokens are its slots. A slot whose text is the same on all pages of the host is part of the
-   template. Slots in containers for navigation, advertising, notices, forms, comments and the like
-   (by tag, role or class words) carry no main text. If pages have an article or main element, its
-   slots are the main ones, otherwise the innermost class that holds most of the host's other text.
-3. Each page is read again with its host's template, and its blocks in the main slots, with
-   character references decoded, are its text. Hosts with one page have that page as template.
-Templates hold only tokens of two pages and a hundredth of the host's pages at least, so their size
-is bounded by the pages' own; they join the pages by host, and Spark picks the join by their size.
+1. Every page becomes a sequence of tokens: its containers, named by their path of tags and class
+   words, and the word runs of its blocks, named by their container's path and all their words. A
+   token's occurrence vector over the host's pages is kept as a fingerprint (exclusive-or of hashes
+   of page and count), which adds up in any order, so no host's pages are ever gathered. Tokens of
+   one fingerprint form an equivalence class.
+2. A class is valid if it stands on three different pages or more and holds a container. A word run
+   that is in the class of its container, or of one around it, is there whenever that container is,
+   and as often: it is template text, inside article and main too. Classes nest by the containers'
+   paths; what lies between their tokens are the slots. Pages of a host that say the same count
+   once, since copies of a page cannot tell template from text.
+3. Template text is kept as rows (host, token), for any number of pages of the host, and joined with
+   the tokens of each page. A page's text is all its blocks, character references decoded, that are
+   neither template text nor in containers for navigation, advertising, notices, forms, comments and
+   the like (by tag, role or class words). Nothing else is dropped.
 
 Defined results: null and empty pages give an empty text; null hosts form one host; unclosed and
 misnested tags end with their container; repeated rows are extracted each; an empty table gives an
@@ -23,9 +23,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
-import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,10 +53,10 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:
 
 
 class Node:
-    __slots__ = ("path", "side", "main", "tag", "text")
+    __slots__ = ("path", "side", "main", "tag")
 
     def __init__(self, path: str, side: bool, main: bool, tag: str):
-        self.path, self.side, self.main, self.tag, self.text = path, side, main, tag, 0
+        self.path, self.side, self.main, self.tag = path, side, main, tag
 
 
 def _named(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
@@ -162,129 +160,89 @@ def blocks_of(page: str) -> Iterator[tuple[str, Node | None, str]]:
         yield "close", stack.pop(), ""
 
 
-def page_tokens(page: str) -> dict[str, list]:
-    """Token -> [count, characters of text in it (openings only), hash of that text, whether at the side, whether main]."""
+def _digest(text: str, seed: int = 0) -> int:
     import xxhash
 
-    out: dict[str, list] = {}
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed) - (1 << 63)
+
+
+def page_tokens(page: str) -> tuple[list[dict], list[tuple[int, str]]]:
+    """(tokens: token, count, path, up), (blocks of token, text), without those at the side. ``up`` are a container's tokens from the root to itself; a word run has its container's as ``path``."""
+    chains: dict[str, list[int]] = {"": [_digest("")]}
+    counts: dict[int, dict] = {chains[""][0]: {"token": chains[""][0], "count": 1, "path": 0, "up": chains[""]}}
+    blocks = []
     for what, node, text in blocks_of(page):
-        if node is None:
+        if what == "close" or (node is not None and node.side):
             continue
-        if what == "text":
-            x = out[node.path]
-            x[1] += len(text)
-            x[2] = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=x[2])
+        path = node.path if node is not None else ""
+        if path not in chains:
+            parts = path.split("/")
+            chains[path] = [chains[""][0], *(_digest("/".join(parts[: i + 1])) for i in range(len(parts)))]
+        here = chains[path][-1]
+        if what == "open":
+            x = counts.setdefault(here, {"token": here, "count": 0, "path": 0, "up": chains[path]})
         else:
-            x = out.setdefault(node.path if what == "open" else "/" + node.path, [0, 0, 0, node.side, node.tag in MAIN])
-            x[0] += 1
-    return out
+            token = _digest(text, seed=here & 0xFFFFFFFFFFFFFFFF)
+            blocks.append((token, text))
+            x = counts.setdefault(token, {"token": token, "count": 0, "path": here, "up": None})
+        x["count"] += 1
+    return list(counts.values()), blocks
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def token_counts(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Per host and token: pages, fingerprint of the occurrence vector, characters, and whether all its texts are one."""
+TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int32()), ("path", pa.int64()), ("up", pa.list_(pa.int64()))]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        acc: dict[tuple[str, str], list] = {}
+def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, host, key, html. ``key`` is the digest of host and page: rows that are equal in both have the same template text."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), html.alias("html"))
+    return rows.select("page_id", "url", "host", F.unhex(F.md5(F.concat("host", F.lit("\n"), "html").cast("binary"))).alias("key"), "html")
 
-        def flush() -> pa.RecordBatch:
-            rows = [(h, t, *v) for (h, t), v in acc.items()]
-            acc.clear()
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "token", "pages", "print", "chars", "least", "most", "side", "main"])
 
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """host, key, says (hash of the blocks), tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, tag, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for token, (count, chars, digest, side, main) in {**page_tokens(page or ""), "": (1, 0, 0, False, False)}.items():
-                    mark = xxhash.xxh64_intdigest(f"{tag}:{count}") - (1 << 63)
-                    digest -= 1 << 63
-                    x = acc.get((host, token))
-                    if x is None:
-                        acc[host, token] = [1, mark, chars, digest, digest, side, main]
-                    else:
-                        acc[host, token] = [x[0] + 1, x[1] ^ mark, x[2] + chars, min(x[3], digest), max(x[4], digest), side, main]
-            if len(acc) > 200_000:
-                yield flush()
-        if acc:
-            yield flush()
-
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.monotonically_increasing_id().alias("tag"), F.col(html_col).alias("html"))
-    shares = rows.mapInArrow(run, "host string, token string, pages long, print long, chars long, least long, most long, side boolean, main boolean")
-    return shares.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.bit_xor("print").alias("print"), F.sum("chars").alias("chars"), (F.min("least") == F.max("most")).alias("same"), F.bool_and("side").alias("side"), F.bool_or("main").alias("main")
-    )
-
-
-def templates(counts: DataFrame) -> DataFrame:
-    """host, template (JSON list of [token, fingerprint, pages, chars, same, side, main]) for hosts with two pages or more."""
-    hosts = counts.where("token = ''").select("host", F.col("pages").alias("all_pages")).where("all_pages > 1")
-    held = counts.where("token <> '' and pages > 1").join(hosts, "host").where("pages >= all_pages / 100")
-    row = F.array(F.col("token"), F.col("print").cast("string"), F.col("pages").cast("string"), F.col("chars").cast("string"), F.col("same").cast("string"), F.col("side").cast("string"), F.col("main").cast("string"))
-    return held.groupBy("host").agg(F.to_json(F.struct(F.max("all_pages").alias("pages"), F.array_sort(F.collect_list(row)).alias("tokens"))).alias("template"))
-
-
-class Template:
-    """Nested classes of one host, and which containers hold main text."""
-
-    def __init__(self, raw: str | None):
-        self.constant: set[str] = set()
-        self.main_path = ""
-        self.has_main = False
-        if not raw:
-            return
-        found = json.loads(raw)
-        tokens = {t: (p, int(n), int(c), same == "true", side == "true", main == "true") for t, p, n, c, same, side, main in found["tokens"]}
-        classes: dict[str, list[str]] = defaultdict(list)
-        for t, x in tokens.items():
-            classes[x[0]].append(t)
-        valid = {t for members in classes.values() for t in members if not t.startswith("/") and "/" + t in members}
-        # nesting: the innermost valid container above each
-        parent = {t: next((u for u in (t.rsplit("/", k)[0] for k in range(1, t.count("/") + 1)) if u in valid), "") for t in valid}
-        self.parent = parent
-        self.constant = {t for t in valid if tokens[t][3] and tokens[t][2] and tokens[t][1] >= 3 and not tokens[t][5] and not any(p in MAIN for p in re.split(r"[/.]", t))}
-        self.has_main = any(tokens[t][5] for t in valid)
-        if not self.has_main:
-            volume: dict[str, int] = defaultdict(int)
-            for t in valid:
-                if not tokens[t][4] and t not in self.constant:
-                    up = t
-                    while up:
-                        volume[up] += tokens[t][2]
-                        up = parent[up]
-            whole = max(volume.values(), default=0)
-            self.main_path = max((t for t, v in volume.items() if v >= 0.8 * whole and v), key=lambda t: (t.count("/"), t), default="")
-
-
-def main_blocks(page: str, template: Template) -> list[str]:
-    found: list[tuple[Node | None, str]] = [(node, text) for what, node, text in blocks_of(page) if what == "text"]
-    found = [(node, text) for node, text in found if node is None or not (node.side or node.path in template.constant)]
-    if any(node is not None and node.main for node, _ in found):
-        return [text for node, text in found if node is not None and node.main]
-    inside = [text for node, text in found if template.main_path and node is not None and (node.path == template.main_path or node.path.startswith(template.main_path + "/"))]
-    return inside or [text for node, text in found]
+            found = [page_tokens(page) for page in batch.column(2).to_pylist()]
+            says = [_digest("\0".join(text for _, text in blocks)) for _, blocks in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(says, pa.int64()), pa.array([t for t, _ in found], TOKENS)], names=["host", "key", "says", "tokens"])
+
+    return rows.select("host", "key", "html").mapInArrow(run, "host string, key binary, says long, tokens array<struct<token:long,count:int,path:long,up:array<long>>>")
+
+
+def templates(tokens: DataFrame) -> DataFrame:
+    """host, token: the word runs that are template text."""
+    each = tokens.groupBy("host", "says").agg(F.min("key").alias("key"))
+    each = tokens.join(each.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("host", "key", F.inline("tokens"))
+    vectors = each.groupBy("host", "token", "path", "up").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("key", "count")).alias("print")).where("pages > 1")
+    vectors = stage(vectors, "vectors")
+    containers = vectors.where("up is not null")
+    runs = vectors.where("up is null and pages >= 3").select("host", "token", "path", "pages", "print")
+    around = runs.join(containers.select("host", F.col("token").alias("path"), "up"), ["host", "path"]).select("host", "token", "pages", "print", F.explode("up").alias("container"))
+    return around.join(containers.select("host", F.col("token").alias("container"), "pages", "print"), ["host", "container", "pages", "print"]).select("host", "token").distinct()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text (blocks joined by two line feeds), n_chars."""
-    held = stage(templates(token_counts(pages, url_col, html_col)), "templates")
+    small_batches(pages.sparkSession)
+    rows = keyed(pages, id_col, url_col, html_col)
+    tokens = stage(tokens_of(rows), "tokens")
+    held = stage(templates(tokens), "templates")
+    mine = tokens.select("key", "host", F.inline("tokens")).where("up is null")
+    # Staged, so that its size is known before pages are moved for the join.
+    dropped = stage(mine.join(held, ["host", "token"], "left_semi").groupBy("key").agg(F.collect_set("token").alias("dropped")), "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, Template] = {}
         for batch in batches:
             texts = []
-            for page, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if raw not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[raw] = Template(raw)
-                texts.append("\n\n".join(main_blocks(page or "", known[raw])))
+            for page, without in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                without = set(without or ())
+                texts.append("\n\n".join(text for token, text in page_tokens(page)[1] if token not in without))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    return rows.join(held, "host", "left").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(dropped, "key", "left").select("page_id", "url", "html", "dropped").mapInArrow(run, "page_id long, url string, text string, n_chars long")
