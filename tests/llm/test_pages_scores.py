@@ -41,6 +41,13 @@ def test_template_words_inside_articles(spark):
     assert _texts(spark, ["<article><p>Copy.</p></article>"] * 4) == {i: "Copy." for i in range(4)}
 
 
+def test_no_slot_is_lost_for_being_small(spark):
+    page = "<div class=lead>Lead {0}</div><div class=body><p>" + "word {0} " * 60 + "</p></div>"
+    assert all(t.startswith(f"Lead {i}\n\nword") for i, t in _texts(spark, [page.format(i) for i in range(6)]).items())
+    beside = "<div>Lead {0}</div><main><p>Main {0}</p></main>"
+    assert _texts(spark, [beside.format(i) for i in range(4)]) == {i: f"Lead {i}\n\nMain {i}" for i in range(4)}
+
+
 def test_scores_learn_and_hold_out(spark):
     r = random.Random(4)
     docs, labels = [], []
