@@ -48,6 +48,12 @@ def test_no_slot_is_lost_for_being_small(spark):
     assert _texts(spark, [beside.format(i) for i in range(4)]) == {i: f"Lead {i}\n\nMain {i}" for i in range(4)}
 
 
+def test_template_does_not_hang_on_the_size_of_the_host(spark):
+    rare = "<section>Seldom seen</section><p>Body {0}</p>"
+    got = _texts(spark, [(rare if i < 3 else "<p>Body {0}</p>").format(i) for i in range(400)])
+    assert got == {i: f"Body {i}" for i in range(400)}
+
+
 def test_scores_learn_and_hold_out(spark):
     r = random.Random(4)
     docs, labels = [], []
