@@ -146,6 +146,37 @@ def test_license_join_is_exact(spark):
     assert got == want and len(want) > 100
 
 
+def test_license_notices_across_lines(spark):
+    docs = [
+        "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal",
+        "The above copyright notice and this permission notice shall be included in\nall copies or substantial portions of the Software.",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided",
+        "Released\n" + "x y z\n" * 9 + "under the MIT\n" + "x y z\n" * 9 + "License",
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = by_id(license_scan.scan(df).collect())
+    assert [(got[i]["labels"], got[i]["score"]) for i in range(4)] == [("mit", 1.0), ("mit", 1.0), ("bsd", 1.0), ("isc", 1.0)]
+    assert (got[4]["labels"], got[4]["score"]) == ("", 0.0)
+    assert [(w.start, w.template) for w in got[2]["windows"]] == [(0, 5)]
+
+
+def test_license_windows_are_exact(spark):
+    rng = np.random.default_rng(4)
+    sets = license_scan.template_sets(license_scan.TEMPLATES, 0.8)
+    docs = []
+    for _ in range(40):
+        t = license_scan.TEMPLATES[rng.integers(len(sets))][1].lower()
+        words = [w for w in re.findall(license_scan.WORD, t) if rng.random() < 0.9]
+        docs.append([*["x"] * rng.integers(0, 40), *words, *["y"] * rng.integers(0, 40)])
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, w.template, round(w.share, 9)) for r in license_scan.scan(df).collect() for w in (r.windows or [])}
+    best = {(i, t["template"]): max(len(set(d[k : k + t["width"]]) & set(t["words"])) for k in range(len(d))) for i, d in enumerate(docs) for t in sets if d}
+    need = {t["template"]: (t["need"], len(t["words"])) for t in sets}
+    want = {(i, t, round(n / need[t][1], 9)) for (i, t), n in best.items() if n >= need[t][0]}
+    assert got == want and len(want) > 20
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, capacity=128).collect()
     bpe = packing.ByteBpe(tokenizer_path("byte_bpe_50k.json"))

@@ -1,12 +1,14 @@
 """License notices by an exact set-similarity join. DataFrame functions only.
 
-Text blocks (lines) and license templates are sets of words. A block matches a template when it has
-at least ``threshold`` of the template's words. The template words' frequencies over the whole
+Text blocks and license templates are sets of words. Blocks are lines, and windows of words that run
+across line ends, as many as the template's words divided by ``threshold``, so that wrapped notices
+are compared as a whole. A block matches a template when it has at least ``threshold`` of the
+template's words. The template words' frequencies over the whole
 corpus order all sets from rare to frequent; a template's prefix is its first
 |T| - need + 1 words, and a block without any of them cannot hold ``need`` of its words. Blocks that
 have one are joined on it with the templates, pass the length filter (enough template words in the
 block) and the positional filter (enough words left in both after the shared one), and the rest is
-verified. Templates are a parameter of fixed size, so they and what follows from them are broadcast.
+verified. Each prefix word is the anchor of the windows around it. Templates are a parameter of fixed size, so they and what follows from them are broadcast.
 
 Defined results: null texts count as empty, with null first and last words; repeated rows are
 scanned each; an empty table gives an empty result; other columns are ignored.
@@ -56,8 +58,9 @@ def words_of(text: Column) -> Column:
 def template_sets(templates: list[tuple[str, str]], threshold: float) -> list[dict]:
     out = []
     for i, (label, text) in enumerate(templates):
-        words = sorted(set(re.findall(WORD, text.lower())))
-        out.append({"template": i, "label": label, "words": words, "need": max(1, math.ceil(threshold * len(words) - 1e-9))})
+        found = re.findall(WORD, text.lower())
+        words = sorted(set(found))
+        out.append({"template": i, "label": label, "words": words, "need": max(1, math.ceil(threshold * len(words) - 1e-9)), "width": math.ceil(len(found) / threshold - 1e-9)})
     return out
 
 
@@ -79,10 +82,10 @@ def _places(words: Column, phrase: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
+    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, windows.
 
-    ``blocks`` lists the matching lines (line number, template, share of its words); ``score`` is the
-    best share.
+    ``blocks`` lists the matching lines (line number, template, share of its words), ``windows`` the
+    best matching window of each template (first word, template, share); ``score`` is the best share.
     """
     spark = docs.sparkSession
     sets = template_sets(templates or TEMPLATES, threshold)
@@ -92,11 +95,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     for t in sets:
         order = sorted(ranks[w] for w in t["words"])
         size, need = len(order), t["need"]
-        rows.append((t["template"], t["label"], order, need))
+        rows.append((t["template"], t["label"], order, need, t["width"]))
         for i, r in enumerate(order[: size - need + 1]):
             prefix.setdefault(r, []).append((t["template"], i, size, need))
     index = spark.createDataFrame([(r, *x) for r, xs in prefix.items() for x in xs], "rank int, template int, at_t int, size_t int, need int")
-    whole = spark.createDataFrame(rows, "template int, label string, order_t array<int>, need_t int")
+    whole = spark.createDataFrame(rows, "template int, label string, order_t array<int>, need_t int, width int")
+    widest = max(t["width"] for t in sets)
     by_rank = {i: w for w, i in ranks.items()}
     rare = F.array(*(F.lit(by_rank[r]) for r in sorted(prefix)))
     ranked = F.create_map(*(x for w, i in ranks.items() for x in (F.lit(w), F.lit(i))))
@@ -110,28 +114,40 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         F.transform(F.split("t", "\n", -1), lambda line, i: F.struct(i.alias("line"), F.array_sort(F.array_compact(F.transform(F.array_distinct(words_of(line)), lambda w: ranked[w]))).alias("order_b"))),
         lambda b: F.size(b["order_b"]) > 0,
     )
+    # Ranks of the words around each anchor, from ``from`` on; -1 for other words.
+    spot = lambda i: F.greatest(i - (widest - 1), F.lit(0))
+    around = lambda i: F.transform(F.slice("words", spot(i) + 1, i - spot(i) + widest), lambda w: F.coalesce(ranked[w], F.lit(-1)))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin([by_rank[r] for r in sorted(prefix)]))
+    anchors = F.transform(at, lambda i: F.struct(ranked[F.get("words", i)].alias("rank"), i.alias("at"), spot(i).alias("from"), around(i).alias("near")))
     base = base.select(
         "doc_id",
         "row_seq",
         F.size("words").cast("long").alias("n_words"),
         *(e.alias(f"p{i}") for i, e in enumerate(places.values())),
         F.when(F.arrays_overlap("words", rare), lines).alias("lines"),
+        F.when(F.arrays_overlap("words", rare), anchors).alias("anchors"),
     )
     base = stage(base, "licenses")
     blocks = base.where(F.size("lines") > 0).select("row_seq", F.inline("lines"))
     shared = blocks.select("row_seq", "line", "order_b", F.posexplode("order_b").alias("at_b", "rank")).join(F.broadcast(index), "rank")
     left = F.least(F.col("size_t") - F.col("at_t"), F.size("order_b") - F.col("at_b"))
     pairs = shared.where((F.size("order_b") >= F.col("need")) & (left >= F.col("need"))).dropDuplicates(["row_seq", "line", "template"])
-    verified = (
-        pairs.join(F.broadcast(whole), "template")
-        .withColumn("both", F.size(F.array_intersect("order_b", "order_t")))
-        .where("both >= need_t")
-        .groupBy("row_seq")
-        .agg(
-            F.collect_set("label").alias("found"),
-            F.max(F.col("both") / F.size("order_t")).alias("score"),
-            F.array_sort(F.collect_list(F.struct("line", "template", (F.col("both") / F.size("order_t")).alias("share")))).alias("blocks"),
-        )
+    lines_found = pairs.join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("order_b", "order_t"))).where("both >= need_t")
+    near = base.where(F.size("anchors") > 0).select("row_seq", F.inline("anchors")).join(F.broadcast(index.select("rank", "template").distinct()), "rank").join(F.broadcast(whole), "template")
+    near = near.where(F.size(F.array_intersect("near", "order_t")) >= F.col("need_t"))
+    window = lambda j: F.struct(F.size(F.array_intersect(F.slice("near", j + 1, F.col("width")), "order_t")).alias("both"), (-(F.col("from") + j)).alias("start"))
+    first, last = F.greatest(F.col("at") - F.col("from") - F.col("width") + 1, F.lit(0)), F.col("at") - F.col("from")
+    windows = near.select("row_seq", "template", "label", "order_t", "need_t", F.array_max(F.transform(F.sequence(first, last), window)).alias("best"))
+    windows = windows.where("best.both >= need_t").groupBy("row_seq", "template", "label", F.size("order_t").alias("size")).agg(F.max("best").alias("best"))
+    share = F.col("both") / F.size("order_t")
+    each = lines_found.select("row_seq", "label", share.alias("share"), F.struct("line", "template", share.alias("share")).alias("block"), F.lit(None).cast("struct<start:int,template:int,share:double>").alias("window"))
+    share = F.col("best.both") / F.col("size")
+    each = each.unionByName(windows.select("row_seq", "label", share.alias("share"), F.lit(None).cast("struct<line:int,template:int,share:double>").alias("block"), F.struct((-F.col("best.start")).alias("start"), "template", share.alias("share")).alias("window")))
+    verified = each.groupBy("row_seq").agg(
+        F.collect_set("label").alias("found"),
+        F.max("share").alias("score"),
+        F.array_sort(F.collect_list("block")).alias("blocks"),
+        F.array_sort(F.collect_list("window")).alias("windows"),
     )
     all_places = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
@@ -145,4 +161,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, F.coalesce("found", F.array().cast("array<string>"))))), ",").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
         "blocks",
+        "windows",
     )

@@ -35,7 +35,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("blocks", "windows")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
