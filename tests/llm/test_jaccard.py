@@ -59,6 +59,20 @@ def test_components_match_brute_force(spark, monkeypatch, seed, groups, size):
     assert sorted(kept) == sorted({c if n else i for i, n, c in want})
 
 
+def test_all_links_are_counted(spark):
+    texts = corpus(3, 2, 60)
+    sets = sets_of(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, links = jj.link_groups(df, every=True)
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    rows = got.collect()
+    assert {r.doc_id: r.n_links for r in rows} == want and max(want.values()) > 10
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted(brute(range(len(texts)), texts))
+    points = [s for s in {frozenset(s) for s in sets} if s]
+    assert links.count() == sum(near(a, b) for i, a in enumerate(points) for b in points[:i])
+
+
 def test_region_join_loses_nothing():
     rng = np.random.default_rng(5)
     sets = []

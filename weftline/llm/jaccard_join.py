@@ -507,8 +507,18 @@ def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block:
     return spread.mapInArrow(join, "a long, na long, b long, nb long").dropDuplicates()
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row per input row: doc_id, row_seq, n_shingles, component_id), (links between points: a, na, b, nb that tie the components)."""
+def _sorted_ends() -> list:
+    """The ends of a pair, the lesser point first."""
+    x, y = F.struct(F.col("a").alias("k"), F.col("na").alias("n")), F.struct(F.col("b").alias("k"), F.col("nb").alias("n"))
+    return [F.least(x, y)["k"].alias("a"), F.least(x, y)["n"].alias("na"), F.greatest(x, y)["k"].alias("b"), F.greatest(x, y)["n"].alias("nb")]
+
+
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(one row per input row: doc_id, row_seq, n_shingles, component_id), (links between points: a, na, b, nb that tie the components).
+
+    With ``every``, all pairs of points are compared, the links are all there are, and each row has
+    n_links: the other rows that link with it, copies of its own text included.
+    """
     rows = stage(points(docs, id_col, text_col), "points")
     sets = rows.where(F.col("set").isNotNull())
     first = F.min_by(F.struct("row_seq", "sketch"), "row_seq").alias("first")
@@ -517,12 +527,18 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = verified(near_pairs(star_pairs(cells), sketches), sketches, sets)
     labels = components(stars, "stars")
     links = stars
-    # First the likeliest pairs that span each block, which tie most of a group together with few pairs; then all that is left.
-    for forest in (True, False):
-        more = verified(rest_pairs(cells, labels, sketches, forest=forest), sketches, sets)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, "links")
+    if every:
+        alone = labels.limit(0)
+        more = verified(rest_pairs(cells, alone, sketches), sketches, sets)
+        links = stage(stars.unionByName(more).select(*_sorted_ends()).dropDuplicates(), "all-links")
+        labels = components(links, "links")
+    else:
+        # First the likeliest pairs that span each block, which tie most of a group together with few pairs; then all that is left.
+        for forest in (True, False):
+            more = verified(rest_pairs(cells, labels, sketches, forest=forest), sketches, sets)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links, "links")
     discard(cells)
     least = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.select(F.col("u.key").alias("key"), F.col("u.n").alias("n"), "label"), ["key", "n"], "left").withColumn("label", F.coalesce("label", F.struct("key", "n")))
@@ -530,7 +546,15 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = stage(named.join(groups, "label").select("key", "n", "component_id"), "classes")
     out = rows.select("doc_id", "row_seq", "n", "key").join(classes, ["key", "n"], "left")
-    return out.select("doc_id", "row_seq", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), links
+    columns = ["doc_id", "row_seq", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if every:
+        copies = stage(rows.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("copies")), "copies")
+        ends = links.select("a", "na", "b", "nb").unionByName(links.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
+        others = ends.join(copies.select(F.col("key").alias("b"), F.col("n").alias("nb"), "copies"), ["b", "nb"]).groupBy(F.col("a").alias("key"), F.col("na").alias("n")).agg(F.sum("copies").alias("others"))
+        counts = copies.join(others, ["key", "n"], "left").select("key", "n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        out = out.join(counts, ["key", "n"], "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns), links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
