@@ -8,3 +8,8 @@ def test_queries_and_oracles_fit():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_byte_format_shows_every_unit(spark):
+    rows = entry.queries()["byte_format_units"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.shown.split(" ")[1] for r in rows} == {"B", "KB", "MB", "GB"} and len(rows) == 200

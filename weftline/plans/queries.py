@@ -358,6 +358,16 @@ def byte_format(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(size < 1024, names.format_bytes(size)).otherwise("more").alias("shown"))
 
 
+@query(
+    """with s as (select p_partkey, p_partkey * case p_partkey % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 1000000000 end as size from part)
+    select p_partkey, case when size < 1024 then cast(size as varchar) || ' B' when size < 1048576 then format('{:,.1f} KB', size / 1024) when size < 1073741824 then format('{:,.1f} MB', size / 1048576)
+    else format('{:,.1f} GB', size / 1073741824) end as shown from s"""
+)
+def byte_format_units(spark, d):
+    step = F.element_at(F.array(*(F.lit(x) for x in (1, 1000, 1_000_000, 1_000_000_000))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", names.format_bytes(F.col("p_partkey") * step).alias("shown"))
+
+
 @query()
 def dax_token_counts(spark, d):
     t = lexers.dax_tokens(table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text")
