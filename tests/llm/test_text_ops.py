@@ -114,6 +114,12 @@ def test_quality_limits_follow_the_group(spark):
     assert not out[5000]["kept"] and out[1000]["kept"] and out[0]["kept"]
 
 
+def test_quality_limits_of_small_tables(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "web", 0) for i in range(20)] + [(50, " ".join(f"v{j}|&| q{j}" for j in range(40)), "en", "web", 0)]
+    out = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect())
+    assert not out[50]["base_failed"] and not out[50]["kept"] and all(out[i]["kept"] for i in range(20))
+
+
 def test_license_scan(docs, empty):
     got = by_id(license_scan.scan(docs).collect())
     for i, text in enumerate(TEXTS):

@@ -107,7 +107,8 @@ def limits(rows: DataFrame, keys: list[str], reach: float = 6.0, least_rows: int
         q = ranked.groupBy(*level, "signal").agg(at(0.5).alias("b50"), at(0.75).alias("b75"), F.max("total").alias("total"))
         slack = F.element_at(F.create_map(*(x for k, (_, s) in SIGNALS.items() for x in (F.lit(k), F.lit(s)))), F.col("signal"))
         limit = value(F.col("b75")) + F.greatest(reach * (value(F.col("b75")) - value(F.col("b50"))), slack)
-        found.append(q.where(F.col("total") >= least_rows).select(*level, "signal", limit.alias(f"limit_{depth}")))
+        enough = F.col("total") >= least_rows if depth else F.lit(True)  # all rows have no group above them to fall back on
+        found.append(q.where(enough).select(*level, "signal", limit.alias(f"limit_{depth}")))
     groups = fine.select(*keys, "signal").distinct()
     for depth, level in zip(range(len(keys), -1, -1), found, strict=True):
         on = [groups[k].eqNullSafe(level[k]) for k in [*keys[:depth], "signal"]]
