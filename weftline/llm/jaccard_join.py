@@ -1,29 +1,28 @@
 """Exact near-duplicate join in the metric space of Jaccard distance, by pivots and regions.
 
-Sets are distinct five-word shingles (48-bit hashes); equal sets are one point. Two points link when
+Sets are distinct five-word shingles (64-bit hashes); equal sets are one point. Two points link when
 intersection / union >= 0.8, that is within distance 0.2.
 
-1. First-level pivots are the shingles themselves, as one-element sets, in one global order (rare
-   before frequent, then by hash). A point's nearest pivots are its own shingles. A point within
-   distance 0.2 lacks at most a fifth of them, so the window that the triangle inequality leaves is
-   the point's first n - ceil(0.8 n) + 1 shingles: the point is copied into these regions, and every
-   linked pair meets in one of them.
-2. Each region's smallest point is its pivot. All members are compared with it exactly, and linked
-   ones form components. Pairs inside a component need no further comparison.
-3. What is left of a region, members outside the pivot's component among themselves and against it,
-   is joined recursively, first for the likeliest pairs that span it and then for all: pivots of the
-   second level split it into Voronoi regions under the Hamming distance of parity sketches (a lower
-   bound of the sets' symmetric difference), boundary points are copied where the triangle inequality allows a partner across, and the leaves compare
-   sketches within windows of the distance to the pivot. Large regions are dealt out in blocks.
-   Pairs that no bound excludes are compared exactly.
+1. First-level pivots are single shingles as one-element sets: two documents that share nothing are at
+   distance 1 from each other, so documents alone cannot part a corpus. In one global order (rare before
+   frequent, then by hash) a point's window is its first n - ceil(0.8 n) + 1 shingles: a partner within
+   distance 0.2 lacks at most a fifth of them, so every linked pair meets in a region. Regions larger
+   than a block are dealt out in pairs of blocks.
+2. Inside regions, parity sketches (their Hamming distance is a lower bound of the sets' symmetric
+   difference) exclude what cannot link. What remains ties points into classes; no link crosses classes.
+3. Each class's whole sets meet once, in one task, or for large classes in pairs of blocks. There
+   documents are the pivots: exact Jaccard distances make Voronoi regions, members within twice the
+   threshold of a region's border (triangle inequality) are copied into it, regions join recursively,
+   and leaves compare whole sets. A task returns for each member its number of links and the least
+   point it is tied to, never the pairs, so a group's pairs are compared but not written.
 Bounds only exclude pairs that cannot link, so nothing is lost. Frequent shingles (the order) are
 counted over all points; the count from which on a shingle is called frequent rises until their
 list is small enough to broadcast, which changes the cost, never the result.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing; fewer
-than five words form one shingle; copies share a component without being compared; null ids never
-name a component unless all ids of it are null; an empty table gives an empty result; repeated rows
-are a row each; other columns are ignored. Points are told apart by a 64-bit hash and their size.
+than five words form one shingle; copies share a component and link with each other; rows with equal ids
+are rows of their own, named alike; null ids never name a component that has another id; tables may be
+empty; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import bounds, discard, partitions, small_batches, stage, texts_of
+from weftline.llm.shared import bounds, discard, partitions, stage, tagged, texts_of, without
 
 WORDS, PERCENT = 5, 80
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: A frequent list longer than this is not broadcast; the limit of frequency doubles instead.
 MOST_FREQUENT = 1_000_000
-MASK48 = np.uint64((1 << 48) - 1)
+#: Members that meet in one task: of a first-level region, and of a class (there also so many shingles).
+REGION, BLOCK, BLOCK_SHINGLES = 4096, 1024, 2_000_000
+#: What a task remembers, to send equal rows once, before it starts anew.
+REMEMBERED = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,14 +59,14 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         v = self[word] = xxhash.xxh64_intdigest(word)
         return v
 
 
 def shingles(text: str, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 48-bit shingle hashes."""
+    """Sorted distinct 64-bit shingle hashes."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -74,27 +76,21 @@ def shingles(text: str, hashes: WordHashes) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(min(len(h), WORDS)):
             acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(acc & MASK48)
+    return np.unique(acc)
 
 
-def pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
 
 
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def sketch(values: np.ndarray, bits_each: int = 1) -> bytes:
-    """Parity of the hashes per bit, of a width (a power of two, 64 at least) that grows with the set."""
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the hashes per bit, of a width (a power of two, 64 at least) of a bit for each element or more."""
     width = 64
-    while width < bits_each * len(values):
+    while width < len(values):
         width *= 2
     bits = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
@@ -113,8 +109,8 @@ def most_apart(a, b):
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row_seq, n, key, and once per task and key the set and its sketch."""
+def points(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None = None) -> DataFrame:
+    """doc_id, tag, row_seq, n, key (128 bits of the set), and once per task and key the set and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -122,35 +118,27 @@ def points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         hashes, met = WordHashes(), set()
         for batch in batches:
             n, key, sets, sketches = [], [], [], []
-            for text in texts_of(batch.column(2)):
+            for text in texts_of(batch.column(3)):
                 s = shingles(text, hashes)
-                packed = pack48(s)
-                k = xxhash.xxh64_intdigest(packed) - (1 << 63)
+                raw = np.ascontiguousarray(s, "<u8").tobytes()
+                k = xxhash.xxh3_128_digest(raw)
                 n.append(len(s))
                 key.append(k)
-                new = len(s) > 0 and (k, len(s)) not in met
-                met.add((k, len(s)))
-                sets.append(packed if new else None)
+                new = len(s) > 0 and k not in met
+                if len(met) > REMEMBERED:
+                    met.clear()
+                met.add(k)
+                sets.append(raw if new else None)
                 sketches.append(sketch(s) if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "row_seq", "n", "key", "set", "sketch"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_seq"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_seq long, n long, key long, set binary, sketch binary")
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "tag", "row_seq", "n", "key", "set", "sketch"])
 
-def _dealt(arrays: list[np.ndarray], by: np.ndarray, buckets: int) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(by, kind="stable")
-    edges = np.searchsorted(by[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            part = order[edges[b] : edges[b + 1]]
-            yield b, [a[part].tobytes() for a in arrays]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(tag_col) if tag_col else F.lit(None)).cast("binary").alias("tag"), F.monotonically_increasing_id().alias("row_seq"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tag binary, row_seq long, n long, key binary, set binary, sketch binary")
 
 
 def _prefixes(raw: bytes, frequent: np.ndarray | None) -> np.ndarray:
     """The first shingles in the global order: frequent ones last, then by hash."""
-    s = unpack48(raw)
+    s = unpack(raw)
     k = prefix_length(len(s))
     if frequent is None or not len(frequent):
         return s[:k]
@@ -161,7 +149,10 @@ def _prefixes(raw: bytes, frequent: np.ndarray | None) -> np.ndarray:
 
 
 def frequent_shingles(sets: DataFrame, least: int = 64) -> np.ndarray:
-    """Shingles in the first places (by hash) of more than ``least`` points, or of more where these are too many."""
+    """Shingles in the first places (by hash) of more than ``least`` points, or of more where these are too many.
+
+    Tasks count before they send: shingles met once go as bare numbers, others with their counts.
+    """
     width = partitions(sets.sparkSession)
     buckets = 4 * width
 
@@ -169,9 +160,16 @@ def frequent_shingles(sets: DataFrame, least: int = 64) -> np.ndarray:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate(held)
-            rows = list(_dealt([tokens], (tokens % np.uint64(buckets)).astype(np.int64), buckets))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "tokens": pa.array([x[0] for _, x in rows], pa.binary())})
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            rows: dict[int, list] = {}
+            for at, part in enumerate((n == 1, n > 1)):
+                by = (tokens[part] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(by, kind="stable")
+                t, c, edges = tokens[part][order], n[part][order], np.searchsorted(by[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    of = slice(edges[b], edges[b + 1])
+                    rows.setdefault(b, [b""] * 3)[at : at + 1 + at] = [t[of].tobytes(), c[of].astype("<i8").tobytes()][: 1 + at]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(list(rows), pa.int32())} | {c: pa.array([x[i] for x in rows.values()], pa.binary()) for i, c in enumerate(("once", "tokens", "counts"))})
 
         for batch in batches:
             for raw in batch.column(0).to_pylist():
@@ -184,386 +182,364 @@ def frequent_shingles(sets: DataFrame, least: int = 64) -> np.ndarray:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
+        parts: dict[int, list[tuple]] = {}
         for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.setdefault(b, []).append(raw)
+            for b, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.setdefault(b, []).append(tuple(raw))
         for b in list(parts):
-            tokens, n = np.unique(np.frombuffer(b"".join(parts.pop(b)), np.uint64), return_counts=True)
+            once, tokens, counts = (b"".join(x) for x in zip(*parts.pop(b), strict=True))
+            once, tokens, counts = unpack(once), unpack(tokens), np.frombuffer(counts, "<i8")
+            t, where = np.unique(np.concatenate([once, tokens]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([np.ones(len(once), np.int64), counts]), len(t)).astype(np.int64)
             often = n > least
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].astype(np.int64)), pa.array(n[often])], names=["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[often].astype(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-    blocks = sets.select("set").mapInArrow(deal, "bucket int, tokens binary")
-    counts = stage(blocks.repartition(width, "bucket").mapInArrow(count, "token long, n long"), "frequent")
+    blocks = sets.select("set").mapInArrow(deal, "bucket int, once binary, tokens binary, counts binary")
+    counts = stage(blocks.repartition(width, "bucket").mapInArrow(count, "token long, n long"), "frequent", rows=1000)
     limit = least
     while counts.where(F.col("n") > limit).count() > MOST_FREQUENT:
         limit *= 2
     found = counts.where(F.col("n") > limit).select("token").toPandas()["token"]  # at most MOST_FREQUENT
-    return np.sort(found.to_numpy(np.uint64))
+    discard(counts)
+    return np.sort(found.to_numpy(np.int64).astype(np.uint64))
 
 
-def regions(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """First-level regions of two points or more, equal ones once: cell, keys and sizes (packed, by key)."""
+def regions(sets: DataFrame, frequent: np.ndarray, most: int = REGION) -> DataFrame:
+    """First-level regions of two rows or more, those of equal members once: cell, chunk, row numbers (packed).
+
+    Rows stream sorted by shingle, so no region is held: beyond ``most`` members it goes on in a new chunk.
+    """
     spark = sets.sparkSession
-    width = partitions(spark)
-    buckets = 4 * width
     known = spark.sparkContext.broadcast(frequent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, keys, sizes, total = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            t = np.concatenate(tokens)
-            many = [len(x) for x in tokens]
-            rows = list(_dealt([t, np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int32), many)], (t % np.uint64(buckets)).astype(np.int64), buckets))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32())} | {c: pa.array([x[i] for _, x in rows], pa.binary()) for i, c in enumerate(("tokens", "keys", "sizes"))})
-
         for batch in batches:
-            for raw, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens.append(_prefixes(raw, known.value))
-                keys.append(key)
-                sizes.append(n)
-                total += len(tokens[-1])
-            if total > 1_000_000:
-                yield flush()
-                tokens, keys, sizes, total = [], [], [], 0
-        if tokens:
-            yield flush()
+            tokens = [_prefixes(raw, known.value) for raw in batch.column(0).to_pylist()]
+            if tokens:
+                seq = np.repeat(batch.column(1).to_numpy(), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(seq)], names=["token", "row_seq"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-        for batch in batches:
-            for b, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(b, []).append(tuple(raw))
-        met: set[bytes] = set()
-        for b in list(parts):
-            t, k, n = (np.frombuffer(b"".join(x), d) for x, d in zip(zip(*parts.pop(b), strict=True), (np.uint64, np.int64, np.int32), strict=True))
-            order = np.lexsort((n, k, t))
-            t, k, n = t[order], k[order], n[order]
-            once = bounds(t, k, n)
-            t, k, n = t[once], k[once], n[once]
-            at = bounds(t)
-            to = np.append(at[1:], len(t))
-            out: list[tuple[int, bytes, bytes, int]] = []
-            for a, z in zip(at[to - at > 1].tolist(), to[to - at > 1].tolist(), strict=True):
-                import xxhash
+        import xxhash
 
-                keys, sizes = k[a:z].tobytes(), n[a:z].tobytes()
-                cell = xxhash.xxh128_digest(keys + sizes)
+        met: set[bytes] = set()
+        out: list[tuple] = []
+        t, k, chunk = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+        def put(token: int, members: np.ndarray, ends: bool) -> None:
+            nonlocal chunk
+            raw = members.tobytes()
+            if chunk or not ends:
+                out.append((xxhash.xxh3_64_intdigest(int(token).to_bytes(8, "little", signed=True), 1) - (1 << 63), chunk, raw))
+            elif len(members) > 1:
+                cell = xxhash.xxh3_128_digest(raw)
                 if cell not in met:
+                    if len(met) > REMEMBERED:
+                        met.clear()
                     met.add(cell)
-                    out.append((cell, keys, sizes, z - a))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["cell", "keys", "sizes", "m"])
-
-    blocks = sets.select("set", "key", "n").mapInArrow(deal, "bucket int, tokens binary, keys binary, sizes binary")
-    cells = blocks.repartition(width, "bucket").mapInArrow(gather, "cell binary, keys binary, sizes binary, m int")
-    return stage(cells, "cells")
+                    out.append((int.from_bytes(cell[:8], "little", signed=True), 0, raw))
+            chunk = 0 if ends else chunk + 1
 
+        def sent() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["cell", "chunk", "rows"])
+            out.clear()
+            return batch
 
-def star_pairs(cells: DataFrame) -> DataFrame:
-    """Every member of a region with the region's pivot (its smallest key), where sizes allow a link."""
+        for batch in batches:
+            t, k = np.concatenate([t, batch.column(0).to_numpy()]), np.concatenate([k, batch.column(1).to_numpy()])
+            if not len(t):
+                continue
+            at = bounds(t)
+            many = np.flatnonzero((np.diff(at) > 1) | (chunk > 0) & (at[:-1] == 0))
+            for a, z in zip(at[many].tolist(), at[many + 1].tolist(), strict=True):
+                put(t[a], k[a:z], True)
+            t, k = t[at[-1] :], k[at[-1] :]
+            while len(t) > most:
+                put(t[0], k[:most], False)
+                t, k = t[most:], k[most:]
+            if out:
+                yield sent()
+        if len(t):
+            put(t[0], k, True)
+        if out:
+            yield sent()
+
+    rows = sets.select("set", "row_seq").mapInArrow(deal, "token long, row_seq long")
+    spread = rows.repartition(partitions(spark), "token").sortWithinPartitions("token", "row_seq")
+    cells = stage(spread.mapInArrow(gather, "cell long, chunk int, rows binary").dropDuplicates(), "cells", rows=2000)
+    known.unpersist()
+    return cells
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, columns) of each run of rows that agree in the first ``keys`` columns of sorted input."""
+    held: tuple | None = None
+    columns: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(i).to_numpy() for i in range(keys)]
+        rest = [c.to_pylist() for c in batch.columns[keys:]]
+        at = [*bounds(*key).tolist(), batch.num_rows]
+        for a, z in zip(at[:-1], at[1:], strict=True):
+            mine = tuple(int(c[a]) for c in key)
+            if mine == held:
+                for have, more in zip(columns, rest, strict=True):
+                    have += more[a:z]
+            else:
+                if held is not None:
+                    yield held, columns
+                held, columns = mine, [c[a:z] for c in rest]
+    if held is not None:
+        yield held, columns
+
+
+def _tie(label: np.ndarray, x: int, others: np.ndarray) -> None:
+    """Give x and the others the least of their labels, and all that shared one of theirs."""
+    if len(others) and (label[others] != label[x]).any():
+        mine = np.unique(np.append(label[others], label[x]))
+        label[np.isin(label, mine)] = mine[0]
+
+
+def near_classes(n: np.ndarray, sketches: list[bytes], part: np.ndarray, across: bool) -> np.ndarray:
+    """Labels (least index) of what pairs tie together that sizes and sketches do not exclude; ``across``: pairs of different parts alone."""
+    label = np.arange(len(n))
+    width = np.array([len(s) for s in sketches])
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        both = np.concatenate([mine, np.flatnonzero(width == 2 * w)])  # a partner is at most 5/4 as large
+        if len(both) < 2:
+            continue
+        words = np.stack([fold(sketches[i], w) for i in both])
+        step = max(1, 4_000_000 // (words.size))
+        for a in range(0, len(mine), step):
+            xs = np.arange(a, min(a + step, len(mine)))
+            apart = np.bitwise_count(words[xs, None, :] ^ words[None, :, :]).sum(2, dtype=np.int64)
+            nx, ny = n[both[xs]][:, None], n[both][None, :]
+            near = (apart <= most_apart(nx, ny)) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
+            near[np.arange(len(xs)), xs] = False
+            if across:
+                near &= part[both[xs]][:, None] != part[both][None, :]
+            for i in np.flatnonzero(near.any(1)).tolist():
+                _tie(label, both[xs[i]], both[near[i]])
+    return label
+
+
+def candidate_ties(cells: DataFrame, ids: DataFrame) -> DataFrame:
+    """Step 2: (a, b), each point with the least point of what its region's sketches tie it to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for keys, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, n = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
-                near = 100 * np.minimum(n[1:], n[0]) >= PERCENT * np.maximum(n[1:], n[0])
-                out.append(np.stack([np.full(near.sum(), k[0]), np.full(near.sum(), n[0]), k[1:][near], n[1:][near]], 1))
-            all_pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in all_pairs.T], names=["a", "na", "b", "nb"])
-
-    return cells.select("keys", "sizes").mapInArrow(run, "a long, na long, b long, nb long").dropDuplicates()
-
+            cell, chunk, nb, raw = (c.to_pylist() for c in batch.columns)
+            rows = [np.frombuffer(x, np.int64) for x in raw]
+            many = [len(x) for x in rows]
+            spread = lambda c, ty: pa.array(np.repeat(np.array(c, ty), many))
+            yield pa.RecordBatch.from_arrays([spread(cell, np.int64), spread(chunk, np.int32), spread(nb, np.int32), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], names=["cell", "chunk", "nb", "row_seq"])
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+        for (_, i, j), (pid, n, sketches, part) in _groups(batches, 3):
+            pid, first = np.unique(np.array(pid, np.int64), return_index=True)
+            if len(pid) < 2:
+                continue
+            label = near_classes(np.array(n, np.int64)[first], [sketches[x] for x in first], np.array(part)[first], i != j)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            new = set(zip(pid[moved].tolist(), pid[label[moved]].tolist(), strict=True)) - met
+            if len(met) > REMEMBERED:
+                met.clear()
+            met |= new
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], names=["a", "b"])
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for na, nb, sa, sb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
-            w = min(len(sa), len(sb))
-            keep.append(int(np.bitwise_count(fold(sa, w) ^ fold(sb, w)).sum()) <= most_apart(na, nb))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=batch.schema.names[:4])
+    chunks = cells.groupBy("cell").agg((F.max("chunk") + 1).alias("nb")).where("nb > 1")
+    sized = cells.join(chunks, "cell", "left").select("cell", "chunk", F.coalesce("nb", F.lit(1)).alias("nb"), "rows")
+    members = sized.mapInArrow(run, "cell long, chunk int, nb int, row_seq long").join(ids, "row_seq")
+    tasks = _blocks(members, "cell", "nb", "chunk", ["pid", "n", "sketch", "chunk"])
+    return tasks.mapInArrow(tie, "a long, b long").dropDuplicates()
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for na, nb, xa, xb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
-            both = len(np.intersect1d(unpack48(xa), unpack48(xb), assume_unique=True))
-            keep.append(100 * both >= PERCENT * (na + nb - both))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], names=batch.schema.names[:4])
+def _blocks(rows: DataFrame, group: str, count: str, block: str, columns: list[str]) -> DataFrame:
+    """Rows dealt to the tasks (group, i, j) in which their block meets itself and each other block, sorted so."""
+    ends = F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda o: F.struct(F.least(F.col(block), o).alias("i"), F.greatest(F.col(block), o).alias("j")))
+    dealt = rows.select(group, F.inline(ends), *[F.col(c) if c != block else F.col(c).alias("block") for c in columns])
+    return dealt.repartition(partitions(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-PAIR = "a long, na long, b long, nb long"
-#: Bits of the table that keeps most sets that no pair needs out of the shuffle. It may let some through; the join drops them.
-SLOTS = 1 << 22
+def components(ties: DataFrame, tag: str) -> DataFrame:
+    """Label of each tied point (pid -> label): least neighbour's label, then the label's label, until nothing changes."""
+    edges = stage(ties.select("a", "b").unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropDuplicates(), f"{tag}-edges")
+    labels = stage(edges.groupBy(F.col("a").alias("pid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{tag}-labels")
+    while True:
+        around = edges.join(labels.select(F.col("pid").alias("b"), "label"), "b").groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("around"))
+        near = stage(labels.join(around, "pid").select("pid", F.col("label").alias("was"), F.least("label", "around").alias("label")), f"{tag}-near")
+        up = near.select(F.col("pid").alias("label"), F.col("label").alias("up"))
+        new = stage(near.join(up, "label", "left").select("pid", "was", F.coalesce(F.least("up", "label"), "label").alias("label")), f"{tag}-labels")
+        discard(labels, near)
+        labels = new
+        if new.where("label <> was").isEmpty():
+            discard(edges)
+            out = labels.select("pid", "label")
+            out._weft_path = labels._weft_path
+            return out
 
 
-def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs that their sketches do not exclude."""
-    a = sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(a, ["a", "na"]).join(b, ["b", "nb"]).select("a", "na", "b", "nb", "sa", "sb").mapInArrow(_near, PAIR)
+#: Bits of the table that keeps most sets that no class needs out of the shuffle: at least 8 for a point, up to this. It may let some through; the join drops them.
+MOST_SLOTS = 1 << 26
 
 
-def needed_sets(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, n, set of the points in ``pairs``: one row each."""
-    ends = pairs.select(F.col("a").alias("key"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("key"), F.col("nb").alias("n"))).dropDuplicates()
-    wanted = stage(ends.join(sketches.select("key", "n", "row_seq"), ["key", "n"]), "wanted")
-    slot = F.pmod(F.xxhash64("row_seq"), F.lit(SLOTS))
+def needed_sets(members: DataFrame, sets: DataFrame, of: int) -> DataFrame:
+    """``members`` with their sets; of the others' sets few are moved."""
+    slots = 1 << 12
+    while slots < min(8 * of, MOST_SLOTS):
+        slots *= 2
+    slot = F.pmod(F.xxhash64("row_seq"), F.lit(slots))
+    wanted = members.withColumnRenamed("pid", "row_seq")
     words = wanted.groupBy(F.shiftright(slot, 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(32)).cast("int"))).alias("bits"))
-    table = np.zeros(SLOTS // 32, np.int64)
-    for r in words.collect():  # at most SLOTS / 32 rows
-        table[r["word"]] = r["bits"]
+    table = np.zeros(slots // 32, np.uint32)
+    found = words.toPandas()  # at most MOST_SLOTS / 32 rows
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
     bits = sets.sparkSession.sparkContext.broadcast(table)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = batch.column(1).to_numpy()
-            keep = (bits.value[slots >> 5] >> (slots & 31)) & 1
+            at = batch.column(1).to_numpy()
+            keep = (bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
             yield batch.filter(pa.array(keep.astype(bool)))
 
     some = sets.select("row_seq", slot.alias("slot"), "set").mapInArrow(likely, "row_seq long, slot long, set binary")
-    return stage(some.join(wanted, "row_seq").select("key", "n", "set"), "needed")
-
-
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sketch(unpack48(x), 8) for x in batch.column(2).to_pylist()], pa.binary())], names=["key", "n", "sketch"])
-
-
-def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by comparing whole sets, after wider sketches have excluded most near misses; only sets that a pair needs are moved."""
-    pairs = stage(pairs, "pairs")
-    whole = needed_sets(pairs, sketches, sets)
-    wide = stage(whole.mapInArrow(_wide, "key long, n long, sketch binary"), "wide")
-    near = stage(near_pairs(pairs, wide), "near-pairs")
-    discard(pairs, wide)
-    pairs = near
-    a = whole.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("set").alias("xa"))
-    b = whole.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("set").alias("xb"))
-    out = stage(pairs.join(a, ["a", "na"]).join(b, ["b", "nb"]).select("a", "na", "b", "nb", "xa", "xb").mapInArrow(_linked, PAIR), "links")
-    discard(pairs, whole)
-    return out
+    return some.join(wanted, "row_seq").drop("slot").withColumnRenamed("row_seq", "pid")
+
+
+def set_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, a column for each element that two sets or more have: intersections become counts of common bits."""
+    size = np.array([len(s) for s in sets])
+    u, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    words = max(1, -(-int(shared.sum()) // 64))
+    column = np.cumsum(shared) - 1
+    own, token = np.repeat(np.arange(len(sets)), size), where
+    keep = shared[token]
+    own, column = own[keep], column[token[keep]]
+    bits = np.zeros(len(sets) * words, np.uint64)
+    if len(own):
+        slot = own * words + (column >> 6)  # ascending: sets are sorted
+        at = bounds(slot)
+        bits[slot[at]] = np.bitwise_or.reduceat(np.uint64(1) << (column & 63).astype(np.uint64), at)
+    return bits.reshape(len(sets), words)
+
+
+def voronoi_links(n: np.ndarray, bits: np.ndarray, leaf: int = 256, pivots: int = 8) -> np.ndarray:
+    """Which sets link (a square of booleans): recursive Voronoi regions of documents under Jaccard distance.
+
+    A member belongs to its nearest pivot's region and is copied into each whose pivot is at most twice the
+    threshold further: a partner across the border is within the threshold of it, so it meets it there.
+    """
+    linked = np.zeros((len(n), len(n)), bool)
 
+    def common(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        step = max(1, 4_000_000 // max(1, len(ys) * bits.shape[1]))
+        return np.concatenate([np.bitwise_count(bits[xs[a : a + step], None, :] & bits[None, ys, :]).sum(2, dtype=np.int64) for a in range(0, len(xs), step)])
 
-def components(links: DataFrame, tag: str) -> DataFrame:
-    """Label of each linked point (key, n -> label): least neighbour's label, then the label's label, until nothing changes."""
-    id_of = lambda k, n: F.struct(F.col(k).alias("key"), F.col(n).alias("n"))
-    ends = links.select(id_of("a", "na").alias("u"), id_of("b", "nb").alias("v"))
-    edges = stage(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).dropDuplicates(), f"{tag}-edges")
-    labels = new = stage(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), f"{tag}-labels")
-    while True:
-        around = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("around"))
-        near = labels.join(around, "u").select("u", F.col("label").alias("was"), F.least("label", "around").alias("label"))
-        near = stage(near, f"{tag}-near")
-        up = near.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        old, new = new, stage(near.join(up, "label", "left").select("u", "was", F.coalesce(F.least("up", "label"), "label").alias("label")), f"{tag}-labels")
-        discard(old, near)
-        labels = new.select("u", "label")
-        if new.where("label <> was").isEmpty():
-            return labels
-
-
-def _leaf(h: np.ndarray, n: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Pairs of left and right members that no bound excludes, in windows of the distance h to the pivot: rows of smaller, larger index, distance per mille of both sizes."""
-    out = [np.zeros((0, 3), np.int64)]
-    order = right[np.argsort(h[right], kind="stable")]
-    hs = h[order]
-    reach = most_apart(n[left], (n[left] * 100) // PERCENT + 1)  # a partner is at most 5/4 as large
-    lo, hi = np.searchsorted(hs, h[left] - reach, "left"), np.searchsorted(hs, h[left] + reach, "right")
-    for x, a, z in zip(left.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        y = order[a:z]
-        y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x]))]
-        if len(y):
-            apart = np.bitwise_count(words[y] ^ words[x]).sum(1).astype(np.int64)
-            near = apart <= most_apart(n[y], n[x])
-            y, apart = y[near], apart[near]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), 1000 * apart // (n[y] + n[x])], 1))
-    return np.concatenate(out)
-
-
-def spanning_forest(pairs: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Lightest pairs (x, y, weight) that tie together whatever ``pairs`` tie, members of one component being tied already: rounds in which each tree takes its lightest pair to another."""
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 2]))]
-    label = np.unique(comp, return_inverse=True)[1]
-    kept = [pairs[:0]]
-    while True:
-        u, v = label[pairs[:, 0]], label[pairs[:, 1]]
-        across = u != v
-        pairs, u, v = pairs[across], u[across], v[across]
-        if not len(pairs):
-            return np.concatenate(kept)
-        place, lightest = np.arange(len(pairs)), np.full(len(label), len(pairs))
-        np.minimum.at(lightest, u, place)
-        np.minimum.at(lightest, v, place)
-        took = np.unique(lightest[lightest < len(pairs)])
-        kept.append(pairs[took])
-        root = np.arange(len(label))
-        for a, b in zip(u[took].tolist(), v[took].tolist(), strict=True):
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        while (root != root[root]).any():
-            root = root[root]
-        label = root[label]
-
-
-def voronoi_join(n: np.ndarray, words: np.ndarray, comp: np.ndarray, core: np.ndarray, leaf: int = 256, pivots: int = 8, forest: bool = False) -> list[tuple[int, int]]:
-    """Candidate pairs of different components, not both in the core: recursive regions under the sketches' Hamming distance; with ``forest``, the lightest that tie as much together."""
-    found = [np.zeros((0, 3), np.int64)]
-    work = [np.arange(len(n))]
+    work = [(np.arange(len(n)), np.arange(len(n)))]
     while work:
-        mine = work.pop()
-        rest = mine[~core[mine]]
-        if not len(rest) or len(mine) < 2:
-            continue
-        step = np.linspace(0, len(mine) - 1, min(pivots, len(mine))).astype(int)
-        d = np.stack([np.bitwise_count(words[mine] ^ words[mine[p]]).sum(1) for p in step], 1).astype(np.int64)
-        reach = most_apart(n[mine], (n[mine] * 100) // PERCENT + 1)
-        home = d.argmin(1)
-        nearest = d[np.arange(len(mine)), home]
-        inside = d <= (nearest + 2 * reach)[:, None]  # a partner's region may be any of these
-        sizes = inside.sum(0)
-        if len(mine) <= leaf or sizes.max() > 0.7 * len(mine):
-            h = np.zeros(len(n), np.int64)
-            h[mine] = d[:, 0]
-            pairs = _leaf(h, n, words, rest, mine, comp)
-            found.append(spanning_forest(pairs, comp) if forest else np.unique(pairs, axis=0))
+        home, mine = work.pop()
+        inside = None
+        if len(mine) > leaf:
+            p = mine[np.linspace(0, len(mine) - 1, pivots).astype(int)]
+            both = common(mine, p)
+            d = 1 - both / (n[mine][:, None] + n[p][None, :] - both)
+            nearest = d.argmin(1)
+            inside = d <= d.min(1, keepdims=True) + 2 * (100 - PERCENT) / 100 + 1e-9
+        if inside is None or inside.sum(0).max() > 0.7 * len(mine):
+            both = common(home, mine)
+            linked[np.ix_(home, mine)] |= 100 * both >= PERCENT * (n[home][:, None] + n[mine][None, :] - both)
         else:
-            work += [mine[inside[:, j]] for j in range(len(step)) if (home == j).any()]
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return [(a, b) for a, b, _ in (spanning_forest(pairs, comp) if forest else pairs).tolist()]
-
-
-def rest_pairs(cells: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = 1024, forest: bool = False) -> DataFrame:
-    """Step 3: pairs of a region that are not in one component and that no bound excludes; with ``forest``, of each block only the likeliest that tie it together."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell, keys, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, n = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(k), pa.binary()), pa.array(k), pa.array(n), pa.array([k[0]] * len(k)), pa.array([n[0]] * len(k))], names=["cell", "key", "n", "pk", "pn"])
-
-    distinct = cells.where("m > 2").groupBy("cell").agg(F.first("keys").alias("keys"), F.first("sizes").alias("sizes"))
-    members = distinct.mapInArrow(unpack, "cell binary, key long, n long, pk long, pn long")
-    own = labels.select(F.col("u.key").alias("key"), F.col("u.n").alias("n"), F.col("label").alias("comp"))
-    pivot = own.select(F.col("key").alias("pk"), F.col("n").alias("pn"), F.col("comp").alias("pivot_comp"))
-    alone = F.struct("key", "n")
-    members = members.join(own, ["key", "n"], "left").join(pivot, ["pk", "pn"], "left")
-    members = members.withColumn("comp", F.coalesce("comp", alone)).withColumn("pivot_comp", F.coalesce("pivot_comp", F.struct(F.col("pk").alias("key"), F.col("pn").alias("n"))))
-    members = stage(members.select("cell", "key", "n", F.xxhash64("comp").alias("comp"), (F.col("comp") == F.col("pivot_comp")).alias("core")), "members")
-    counts = members.groupBy("cell").agg(F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("rests"))
-    counts = counts.where("rests > 0").select("cell", F.ceil(F.col("cores") / block).cast("int").alias("cb"), F.ceil(F.col("rests") / block).cast("int").alias("rb"))
-    dealt = members.join(counts, "cell")
-    mine = F.when(F.col("core"), F.pmod(F.col("key"), F.col("cb"))).otherwise(F.pmod(F.col("key"), F.col("rb"))).cast("int")
-    dealt = dealt.withColumn("mine", mine)
-    # A core block meets every block of the rest; blocks of the rest meet each other once.
-    others = F.when(F.col("core"), F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda j: F.struct((-1 - F.col("mine")).alias("i"), j.alias("j")))).otherwise(
-        F.concat(
-            F.when(F.col("cb") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("cb"), F.lit(1)) - 1), lambda i: F.struct((-1 - i).alias("i"), F.col("mine").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
-            F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j"))),
-        )
-    )
-    tasks = dealt.select("cell", "key", "n", "comp", "core", "mine", F.inline(others))
-    tasks = tasks.join(sketches.select("key", "n", "sketch"), ["key", "n"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        met: set[tuple] = set()
-
-        def close() -> pa.RecordBatch:
-            n = np.array([r["n"] for r in held], np.int64)
-            w = min(len(r["sketch"]) for r in held)
-            words = np.stack([fold(r["sketch"], w) for r in held])
-            comp = np.array([r["comp"] for r in held], np.int64)
-            core = np.array([r["core"] for r in held])
-            pairs = set()
-            for x, y in voronoi_join(n, words, comp, core, forest=forest):
-                p, q = sorted(((held[x]["key"], held[x]["n"]), (held[y]["key"], held[y]["n"])))
-                pairs.add((*p, *q))
-            new = list(pairs - met)
-            met.update(new)
-            if len(met) > 1_000_000:
-                met.clear()
-            columns = zip(*new, strict=True) if new else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "na", "b", "nb"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and (r["cell"], r["i"], r["j"]) != (held[0]["cell"], held[0]["i"], held[0]["j"]):
-                    if len(held) > 1:
-                        yield close()
-                    held = []
-                held.append(r)
-        if len(held) > 1:
-            yield close()
-
-    width = partitions(sketches.sparkSession)
-    spread = tasks.repartition(width, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "key")
-    return spread.mapInArrow(join, "a long, na long, b long, nb long").dropDuplicates()
-
+            at_home = np.isin(mine, home)
+            work += [(mine[at_home & (nearest == j)], mine[inside[:, j]]) for j in range(pivots) if (at_home & (nearest == j)).any()]
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Point, copies and links of each task's members: whole sets are compared."""
+    for (_, i, j), (pid, copies, raw, block) in _groups(batches, 3):
+        if len(pid) > 1:
+            sets = [unpack(x) for x in raw]
+            linked = voronoi_links(np.array([len(s) for s in sets]), set_bits(sets))
+            if i != j:
+                linked &= np.not_equal.outer(block, block)
+            yield np.array(pid, np.int64), np.array(copies, np.int64), linked
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[np.ndarray] = []
+    for pid, copies, linked in _compared(batches):
+        label = np.arange(len(pid))
+        order = np.argsort(pid)  # labels are least points
+        pid, copies, linked = pid[order], copies[order], linked[np.ix_(order, order)]
+        some = np.flatnonzero(linked.any(1))
+        for x in some.tolist():
+            _tie(label, x, np.flatnonzero(linked[x]))
+        out.append(np.stack([pid[some], (linked[some] * copies).sum(1), pid[label[some]]], 1))
+        if len(out) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=["a", "links", "b"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=["a", "links", "b"])
 
-def _sorted_ends() -> list:
-    """The ends of a pair, the lesser point first."""
-    x, y = F.struct(F.col("a").alias("k"), F.col("na").alias("n")), F.struct(F.col("b").alias("k"), F.col("nb").alias("n"))
-    return [F.least(x, y)["k"].alias("a"), F.least(x, y)["n"].alias("na"), F.greatest(x, y)["k"].alias("b"), F.greatest(x, y)["n"].alias("nb")]
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for pid, _, linked in _compared(batches):
+        x, y = np.nonzero(np.triu(linked))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pid[x], pid[y])), pa.array(np.maximum(pid[x], pid[y]))], names=["a", "b"])
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(one row per input row: doc_id, row_seq, n_shingles, component_id), (links between points: a, na, b, nb that tie the components).
 
-    With ``every``, all pairs of points are compared, the links are all there are, and each row has
-    n_links: the other rows that link with it, copies of its own text included.
-    """
-    rows = stage(points(docs, id_col, text_col), "points")
+def class_tasks(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None = None, region: int = REGION, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 1 and 2: (rows, points, the classes' members with their sets, dealt to tasks). A point's number is that of its first row."""
+    rows = stage(points(docs, id_col, text_col, tag_col), "points", rows=1000)
     sets = rows.where(F.col("set").isNotNull())
-    first = F.min_by(F.struct("row_seq", "sketch"), "row_seq").alias("first")
-    sketches = stage(sets.groupBy("key", "n").agg(first).select("key", "n", "first.row_seq", "first.sketch"), "sketches")
-    cells = regions(sets, frequent_shingles(sets))
-    stars = verified(near_pairs(star_pairs(cells), sketches), sketches, sets)
-    labels = components(stars, "stars")
-    links = stars
-    if every:
-        alone = labels.limit(0)
-        more = verified(rest_pairs(cells, alone, sketches), sketches, sets)
-        links = stage(stars.unionByName(more).select(*_sorted_ends()).dropDuplicates(), "all-links")
-        labels = components(links, "links")
-    else:
-        # First the likeliest pairs that span each block, which tie most of a group together with few pairs; then all that is left.
-        for forest in (True, False):
-            more = verified(rest_pairs(cells, labels, sketches, forest=forest), sketches, sets)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links, "links")
-    discard(cells)
-    least = rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels.select(F.col("u.key").alias("key"), F.col("u.n").alias("n"), "label"), ["key", "n"], "left").withColumn("label", F.coalesce("label", F.struct("key", "n")))
-    named = stage(named, "named")
+    distinct = stage(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("row_seq").alias("pid")), "distinct")
+    ids = stage(sets.select("row_seq", "key", "sketch").join(distinct.select("key", "pid", "n"), "key").drop("key"), "ids")
+    cells = regions(sets, frequent_shingles(sets), region)
+    ties = stage(candidate_ties(cells, ids), "ties")
+    discard(cells, ids)
+    classes = components(ties, "classes")
+    sized = classes.join(distinct.select("pid", "n", "copies"), "pid")
+    counts = sized.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    members = stage(sized.join(counts, "label").select("label", "pid", "copies", "nb", F.pmod(F.xxhash64("pid"), F.col("nb")).cast("int").alias("blk")), "members")
+    discard(ties, classes)
+    dealt = stage(needed_sets(members, sets, distinct.count()), "whole")
+    discard(members)
+    return rows, distinct, _blocks(dealt, "label", "nb", "blk", ["pid", "copies", "set", "blk"])
+
+
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None, region: int = REGION, block: int = BLOCK) -> DataFrame:
+    """One row per input row: doc_id, tag, row_seq, n_shingles, component (its number, null without words), component_id, and n_links: the other rows that link with it, copies of its own text included."""
+    rows, distinct, tasks = class_tasks(docs, id_col, text_col, tag_col, region, block)
+    counted = stage(tasks.mapInArrow(_counted, "a long, links long, b long"), "counted", rows=1000)
+    labels = components(counted.where("a <> b"), "links")
+    links = counted.groupBy(F.col("a").alias("pid")).agg(F.sum("links").alias("links"))
+    named = stage(distinct.join(labels, "pid", "left").join(links, "pid", "left").withColumn("label", F.coalesce("label", "pid")), "named")
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = stage(named.join(groups, "label").select("key", "n", "component_id"), "classes")
-    out = rows.select("doc_id", "row_seq", "n", "key").join(classes, ["key", "n"], "left")
-    columns = ["doc_id", "row_seq", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
-    if every:
-        copies = stage(rows.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("copies")), "copies")
-        ends = links.select("a", "na", "b", "nb").unionByName(links.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
-        others = ends.join(copies.select(F.col("key").alias("b"), F.col("n").alias("nb"), "copies"), ["b", "nb"]).groupBy(F.col("a").alias("key"), F.col("na").alias("n")).agg(F.sum("copies").alias("others"))
-        counts = copies.join(others, ["key", "n"], "left").select("key", "n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        out = out.join(counts, ["key", "n"], "left")
-        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select(*columns), links
+    classes = named.join(groups, "label").select("key", F.col("label").alias("component"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = rows.select("doc_id", "tag", "row_seq", "n", "key").join(classes, "key", "left")
+    columns = ["doc_id", "tag", "row_seq", "component", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    out = stage(out.select(*columns), "groups")
+    discard(rows, distinct, counted, labels, named)
+    return out
+
+
+def link_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None, region: int = REGION, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(membership: doc_id, tag, row_seq, point; all links between points: a < b). Copies are one point; the pairs of a group grow with its square."""
+    rows, distinct, tasks = class_tasks(docs, id_col, text_col, tag_col, region, block)
+    pairs = stage(tasks.mapInArrow(_paired, "a long, b long"), "pairs", rows=1000)
+    return rows.select("doc_id", "tag", "row_seq", "key").join(distinct.select("key", F.col("pid").alias("point")), "key", "left").drop("key"), pairs
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (the first such row); texts without words all stay."""
-    tagged = stage(docs.withColumn("__row_seq", F.monotonically_increasing_id()), "docs")
-    # Rows are told apart by their tag; components by the tag of their first row.
-    order = tagged.select(F.col("__row_seq").alias("tag"), F.col(id_col).cast("long").alias("id"))
-    groups, _ = link_groups(tagged.withColumn("__tag", F.col("__row_seq")), "__tag", text_col)
-    groups = stage(groups, "groups")
-    best = groups.where("n_shingles > 0").join(order, groups["doc_id"] == order["tag"]).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("best"))
-    stays = best.select(F.col("best.tag").alias("__row_seq")).unionByName(groups.where("n_shingles = 0").select(F.col("doc_id").alias("__row_seq")))
-    return tagged.join(stays, "__row_seq", "left_semi").drop("__row_seq")
+    """``docs`` with one row of each component: that of the smallest id (the first such row; null ids last); texts without words all stay."""
+    rows, tag = tagged(docs)
+    groups = link_groups(rows, id_col, text_col, tag).where("component is not null")
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_seq")).alias("best"))
+    others = groups.join(best, "component").where(F.col("row_seq") != F.col("best.row_seq"))
+    return without(rows, tag, stage(others.select(F.col("tag").alias(tag)), "others"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import small_batches, texts_of, tokenizer_path
+from weftline.llm.shared import texts_of, tokenizer_path
 
 MARK = "▁"
 
@@ -109,5 +109,4 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 del out["ids"]
             yield pa.RecordBatch.from_pydict(out)
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

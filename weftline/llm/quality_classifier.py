@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.quality_rules import measure
-from weftline.llm.shared import small_batches, stage, texts_of
+from weftline.llm.shared import stage, texts_of
 
 STATISTICS = 12
 BINS = 1024
@@ -82,7 +82,6 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = [statistics_of(t) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 

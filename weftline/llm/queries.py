@@ -39,7 +39,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_groups(_table(spark, sf_dir, "documents"), every=True)[0].drop("row_seq")
+    return jaccard_join.link_groups(_table(spark, sf_dir, "documents")).drop("tag", "row_seq", "component")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,26 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space as the operators' contracts define it: space and \t \n \v \f \r.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what setCheckpointDir() named.
+
+    Only on a local master, where all tasks run in one process's machine, an unset folder gets one of our own.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.sparkContext.setCheckpointDir(base)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file:///tmp/checkpoints/{context.applicationId}"
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -33,22 +41,27 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 #: Drops a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch; Spark bounds a batch by bytes as well.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def stage(df: DataFrame, tag: str, rows: int = 10_000) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; Arrow batches have at most ``rows`` rows.
 
     This cuts the lineage: a lost executor costs a re-read, and row tags such as
     monotonically_increasing_id() stay what they were. The write's shuffle files go with it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    before = spark.conf.get(CLEANUP, "false")
+    put = {CLEANUP: "true", BATCH: str(rows)}
+    before = {k: spark.conf.get(k, "false" if k == CLEANUP else "10000") for k in put}
     try:
-        spark.conf.set(CLEANUP, "true")
+        for k, v in put.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
@@ -66,10 +79,45 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows: texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_{uuid.uuid4().hex[:8]}"
+    return name
+
+
+def _is_scan(plan: object) -> bool:
+    """Is this a file scan under projections and filters alone, so that a file's row appears once at most?"""
+    kind, below = plan.getClass().getSimpleName(), plan.children()
+    if kind == "LogicalRelation":
+        return True
+    return kind in ("Project", "Filter", "SubqueryAlias", "View") and below.size() == 1 and _is_scan(below.apply(0))
+
+
+def tagged(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart in every later pass over it, and that column's name.
+
+    Rows of files are told apart by file and place, so nothing is copied; rows of other plans, whose order
+    may change from pass to pass, are staged once with their number.
+    """
+    name = fresh(docs, "row_tag")
+    if "_metadata" not in docs.columns and _is_scan(docs._jdf.queryExecution().analyzed()):
+        try:
+            return docs.select("*", F.unhex(F.md5(F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string")))).alias(name)), name
+        except AnalysisException:  # a format without row numbers
+            pass
+    return stage(docs.withColumn(name, F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))), "tagged"), name
+
+
+#: Up to so many marks (of at most 16 bytes) are broadcast; beyond it rows and marks are shuffled.
+MARKS = 1_000_000
+
+
+def without(rows: DataFrame, name: str, marks: DataFrame) -> DataFrame:
+    """``rows`` but for those whose tag is in the narrow table ``marks``, without the tag."""
+    few = marks.limit(MARKS + 1).count() <= MARKS
+    return rows.join(F.broadcast(marks) if few else marks, name, "left_anti").drop(name)
 
 
 def texts_of(column: pa.Array) -> list[str]:
