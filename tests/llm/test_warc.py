@@ -29,10 +29,36 @@ def test_round_trip(spark):
     assert warc.read_archives(empty).count() == 0
 
 
+def test_records_are_valid_and_ids_are_unique(spark):
+    big = "<p>some text</p>" * 20
+    rows = [(i, f"http://h/{i}", big if i % 2 else f"<p>{i}</p>" * 40, None, None) for i in range(30)] + [(1, "http://h/1", big, None, None)] * 3 + [(None, "n", "", None, None)] * 2
+    index, _ = warc.archive_pages(spark.createDataFrame(rows, SCHEMA).repartition(2))
+    got = warc.read_archives(index).collect()
+    ids = [g.record_id for g in got]
+    assert len(set(ids)) == len(ids) == len(rows)
+    first = {g.record_id for g in got if g.record_type == "response" and g.page_id == 1}
+    assert len(first) == 4
+    assert all(g.refers_to_record in first for g in got if g.record_type == "revisit")
+    for path in (r.path for r in index.select("path").collect()):
+        raw = open(path.removeprefix("file:"), "rb").read()
+        assert int.from_bytes(raw[4:8], "little") > 0  # every archive has its dictionary
+        records = list(warc.decode_archive(raw))
+        assert records[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        for r in records:
+            head, block = r.split(b"\r\n\r\n", 1)
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(fields)
+            assert block[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+            if fields["WARC-Type"] == "response":
+                assert fields["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n")
+
+
 def test_archives_carry_their_dictionary():
-    records = [warc.record({"page_id": i, "uri": "u", "record_type": "response", "payload": b"<html><body>common words %d</body></html>" % i * 20, "payload_digest": "d", "payload_bytes": 1, "refers_to": None}) for i in range(200)]
-    raw = b"".join(warc.encode_archive(records, 4096, 1 << 20, 3))
-    assert raw[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(raw[4:8], "little") > 0
-    assert list(warc.decode_archive(raw)) == records
+    row = {"uri": "u", "record_type": "response", "payload_digest": "d", "payload_bytes": 1, "refers_to": None, "again": None}
+    records = [warc.record(row | {"page_id": i, "payload": b"<html><body>common words %d</body></html>" % i * 20}, "2024-01-01T00:00:00Z") for i in range(200)]
+    for some in (records, records[:1]):
+        raw = b"".join(warc.encode_archive(some, 4096, 1 << 20, 3))
+        assert raw[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(raw[4:8], "little") > 0
+        assert list(warc.decode_archive(raw)) == some
     with pytest.raises(ValueError):
         list(warc.decode_archive(b"\0" * 16))
