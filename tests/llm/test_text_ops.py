@@ -236,3 +236,78 @@ def test_pieces(docs, empty):
         assert bytes(got[i]["ids"]) == np.array(ids, "<u4").tobytes() and got[i]["n_tokens"] == len(ids)
         assert got[i]["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
     assert pieces.encode_texts(empty).count() == 0
+
+
+def test_secret_verdict_matches_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    values = [f"value{i:05d}" for i in range(12)]
+    rows = []
+    for i in range(300):
+        found = r.sample(values, r.randrange(0, 4)) if i % 3 else [values[0]]
+        rows.append((i, " ".join(f"token={v}" for v in found) + " end", r.choice(["en", "de", None]), r.choice(["a", "b", "c", "d", None]) if found != [values[1]] else "a"))
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), example_owners=5, example_repositories=14).collect()
+    owners, repositories = {}, {}
+    for _, text, lang, source in rows:
+        for v in re.findall("token=([a-z0-9]+)", text):
+            owners.setdefault(v, set()).add(source)
+            repositories.setdefault(v, set()).add((source, lang))
+    live = {v for v in owners if len(owners[v]) < 5 and len(repositories[v]) < 14}
+    assert 0 < len(live) or len(owners) == 12
+    for g in got:
+        mine = re.findall("token=([a-z0-9]+)", rows[g.doc_id][1])
+        assert (g.n_live, g.n_example) == (sum(v in live for v in mine), sum(v not in live for v in mine))
+
+
+def test_positions_of_many_secrets_in_one_text(spark):
+    text = " ".join(f"é token=abcdef{i}" for i in range(2000))
+    got = secret_scan.scan(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    want = spans_of(text)
+    assert got.n_assign == 2000 and got.base_spans == ",".join(f"assign:{s}:{e}" for s, _, e in want)
+
+
+def test_packing_of_long_white_space_runs():
+    import public_tokenizers
+
+    bpe = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "a" + "\n" * 900_000 + "b"):
+        assert np.frombuffer(bpe.encode(text), np.uint32).tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_quality_verdict_matches_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        lang, source = r.choice(["en", "de", None]), r.choice(["a", "b", "b", "b"])
+        words = [f"w{r.randrange(300)}" + ("#" * 9 if i % 29 == 0 else "#" * r.choice([0, 0, 0, 1, 3]) if source == "a" else "") for _ in range(r.randrange(40, 120))]
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        lines += [lines[0]] * r.choice([0, 0, 0, 1, 9])
+        rows.append((i, "\n".join(lines) if i % 50 else None, lang, source))
+    got = by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect())
+    counts = {i: dict(zip(quality_rules.COUNTS, quality_rules.measure(t or ""), strict=True)) for i, t, _, _ in rows}
+    ratio = lambda c, e: c[e.split(" / ")[0]] / c[e.split(" / ")[1]]
+    g, floor = quality_rules.GAMMA, quality_rules.FLOOR
+
+    def limit(ids, expression, slack):
+        bins = sorted(math.floor(math.log(max(ratio(counts[i], expression), floor) / floor) / math.log(g)) for i in ids)
+        value = lambda q: floor * g ** (bins[math.ceil(q * len(bins)) - 1] + 0.5)
+        return value(0.75) + max(6 * (value(0.75) - value(0.5)), slack)
+
+    some = [i for i in counts if counts[i]["n_words"]]
+    rejected = 0
+    for i, _, lang, source in rows:
+        want = False
+        if counts[i]["n_words"]:
+            want = not got[i]["base_failed"]
+            for expression, slack in quality_rules.SIGNALS.values():
+                top = limit(some, expression, slack)
+                for same in ([j for j in some if rows[j][2] == lang], [j for j in some if rows[j][2:] == (lang, source)]):
+                    top = (limit(same, expression, slack) * len(same) + top * 200) / (len(same) + 200)
+                want = want and ratio(counts[i], expression) <= top
+        assert got[i]["kept"] == want
+        rejected += not want and not got[i]["base_failed"]
+    assert rejected > 3

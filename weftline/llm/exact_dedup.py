@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import ASCII_SPACE, bounds, partitions, stage
+from weftline.llm.shared import ASCII_SPACE, bounds, partitions, stage, tagged, without
 
 RUN_SCHEMA = "node long, h long, sha binary, n int, doc_id long, seq long, copies long"
 
@@ -101,3 +101,14 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("seq").alias("row_seq"),
         *(["extra"] if extra else []),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, with all its columns, of whatever names.
+
+    All null and empty texts are equal; which row stays says :func:`group_copies`; an empty table stays
+    empty. Only tags of the rows that go meet the rows again; the texts are not moved.
+    """
+    rows, tag = tagged(docs)
+    groups = group_copies(rows, id_col, text_col, extra=tag)
+    return without(rows, tag, stage(groups.where("not kept").select(F.col("extra").alias(tag)), "copies"))
