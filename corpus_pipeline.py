@@ -7,10 +7,9 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import exact_dedup, jaccard_join, packing, quality_rules, secret_scan
-from weftline.llm.shared import stage
+from weftline.llm.shared import discard, stage
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that agree but for white space one document stays."""
-    tagged = stage(docs.withColumn("__tag", F.monotonically_increasing_id()), "docs")
-    groups = exact_dedup.group_copies(tagged, extra="__tag")
-    kept = groups.where("kept").select(F.col("extra").alias("__tag"))
-    return tagged.join(kept, "__tag", "left_semi").drop("__tag")
+    return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
         docs = stage(apply(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
     return docs
