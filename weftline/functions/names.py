@@ -33,9 +33,14 @@ def unescape(name: Column, mark: str = "'") -> Column:
     return F.replace(name, F.lit(mark * 2), F.lit(mark))
 
 
-def display(kind: Column, table: Column, name: Column) -> Column:
-    """How an object is written: 'Table'[Column], [Measure], Table, or kind name."""
-    return F.when(kind == "table", quoted(name)).when(kind == "measure", F.concat(F.lit("["), name, F.lit("]"))).when(kind.isin("column", "hierarchy", "calculation_item", "partition"), F.concat(quoted(table), F.lit("["), name, F.lit("]"))).otherwise(F.concat_ws(" ", kind, quoted(name)))
+def display(kind: Column, table: Column, name: Column, from_column: Column | None = None, to_table: Column | None = None, to_column: Column | None = None) -> Column:
+    """How an object of each kind is written: 'Table'[Name] for columns and measures, the kind before others; relationships by their ends."""
+    field = F.concat(quoted(table), F.lit("["), name, F.lit("]"))
+    written = F.when(kind.isin("column", "measure"), field).when(kind.isin("hierarchy", "partition", "calculation_item"), F.concat_ws(" ", F.replace(kind, F.lit("_"), F.lit(" ")), field))
+    if from_column is not None:
+        ends = F.concat(F.lit("relationship "), quoted(table), F.lit("["), from_column, F.lit("] -> "), quoted(to_table), F.lit("["), to_column, F.lit("]"))
+        written = written.when(kind == "relationship", ends)
+    return written.otherwise(F.concat_ws(" ", F.replace(kind, F.lit("_"), F.lit(" ")), quoted(name)))
 
 
 def object_key(*parts: Column) -> Column:
@@ -57,13 +62,22 @@ def is_guid(text: Column) -> Column:
 
 
 def filters_both_ways(behaviour: Column, from_cardinality: Column, to_cardinality: Column) -> Column:
-    """Both directions: said so, or one-to-one without a word on the direction."""
-    return F.when(behaviour.isNotNull(), F.lower(behaviour) == "bothdirections").otherwise(F.coalesce((F.lower(from_cardinality) == "one") & (F.lower(F.coalesce(to_cardinality, F.lit("one"))) == "one"), F.lit(False)))
+    """Any direction said other than one, or one-to-one whatever is said; what is not said is one direction, many to one."""
+    one = lambda c, unsaid: F.lower(F.coalesce(c, F.lit(unsaid))) == "one"
+    return (F.lower(F.coalesce(behaviour, F.lit("onedirection"))) != "onedirection") | (one(from_cardinality, "many") & one(to_cardinality, "one"))
+
+
+#: Units of sizes, each 1,024 of the one before.
+UNITS = ["KB", "MB", "GB", "TB"]
 
 
 def format_bytes(size: Column) -> Column:
-    unit = lambda power, name: F.concat(F.format_number(size / 1024**power, 1), F.lit(f" {name}"))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, unit(1, "KB")).when(size < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+    """Bytes as they are below 1,024, else with one decimal in the largest unit that leaves a whole one; terabytes take all that is larger."""
+    unit = lambda power, name: F.format_string(f"%.1f {name}", F.bround(size / F.lit(1024.0**power), 1))  # noqa: E731  ties go to the even digit
+    shown = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for power, name in enumerate(UNITS[:-1], 1):
+        shown = shown.when(size < 1024 ** (power + 1), unit(power, name))
+    return shown.otherwise(unit(len(UNITS), UNITS[-1]))
 
 
 def initial_catalog(connection: Column) -> Column:
@@ -71,7 +85,7 @@ def initial_catalog(connection: Column) -> Column:
 
 
 def strip_wait_time(text: Column) -> Column:
-    return F.regexp_replace(F.rtrim(text), r"\s*\[WaitTime:[^\[]*ms\]$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\s+\z", ""), r"(?s)\s*\[WaitTime:(?!.*\[WaitTime:).*ms\]\z", "")
 
 
 def query_language(text: Column) -> Column:

@@ -1,25 +1,26 @@
 """Dependency graph operators: reachability, liveness, bridges, slices.
 
-Graphs are DataFrames: nodes(kind, id), edges(src, dst, prov), roots(id). Traversals are semi-naive:
-each round joins only the newest nodes with the edges, and cuts its lineage with checkpoint().
+Graphs are DataFrames: nodes(kind, id), edges(src, dst, prov), roots(id). Traversals are semi-naive: each round
+joins only the newest nodes with the edges and writes the next ones as a table, so lineage does not grow and
+joins know their sides' sizes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.tables import new_path, shared_folder, write, written
+
 #: Provenances that the strong pass, and the weak pass, do not follow (fixed values).
 NOT_STRONG = ("relationship_endpoint", "inactive_relationship", "inactive_relationship_endpoint", "stale_bookmark")
 NOT_WEAK = ("table_member", "inactive_relationship", "inactive_relationship_endpoint", "stale_bookmark")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that spark.checkpoint.dir names; set one only where it is unset."""
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}")
+    """Have a folder for checkpoints: the shared one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def strong(edges: DataFrame) -> DataFrame:
@@ -35,34 +36,37 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").dropDuplicates(["src", "dst", "prov"])
 
 
-def reach(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """id, depth of every node that the seeds (id) reach; the seeds have depth 0."""
-    ensure_checkpoints(seeds.sparkSession)
-    hops = edges.select("src", "dst").distinct().checkpoint()
-    frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    found, at = [frontier], 0
+def reach(seeds: DataFrame, edges: DataFrame, depth: int | None = None, first: DataFrame | None = None) -> DataFrame:
+    """id, depth of every node that the seeds (id) reach; the seeds have depth 0.
+
+    ``first``: the edges of the first round where only some of ``edges`` can lead from the seeds to new nodes.
+    """
+    spark = seeds.sparkSession
+    paths = [new_path(spark, "reach")]
+    write(seeds.select("id").distinct().withColumn("depth", F.lit(0)), paths[0])
+    read = lambda *p: spark.read.schema("id string, depth int").parquet(*p)
+    at = 0
     while depth is None or at < depth:
         at += 1
-        seen = reduce(DataFrame.unionByName, found)
-        new = frontier.join(hops, frontier["id"] == hops["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = new.join(seen, "id", "left_anti").withColumn("depth", F.lit(at)).checkpoint()
-        if frontier.isEmpty():
+        hops = edges if first is None or at > 1 else first
+        new = read(paths[-1]).join(hops.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
+        paths.append(new_path(spark, "reach"))
+        write(new.join(read(*paths[:-1]).select("id"), "id", "left_anti").withColumn("depth", F.lit(at)), paths[-1])
+        if read(paths[-1]).isEmpty():
             break
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+    return read(*paths)
 
 
 def _labels(live: DataFrame, flows: DataFrame) -> DataFrame:
     """Dead tables reachable from live ones through dead ones: id, least and greatest live start. flows: src, dst."""
-    ensure_checkpoints(live.sparkSession)
-    into_dead = flows.join(live.select(F.col("id").alias("dst")), "dst", "left_anti").checkpoint()
+    into_dead = written(flows.join(live.select(F.col("id").alias("dst")), "dst", "left_anti"), "flows")
     start = into_dead.join(live.select(F.col("id").alias("src")), "src", "left_semi")
-    best = start.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("lo"), F.max("src").alias("hi")).checkpoint()
+    best = written(start.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("lo"), F.max("src").alias("hi")), "labels")
     changed = best
     while not changed.isEmpty():
         step = changed.join(into_dead, changed["id"] == into_dead["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        merged = best.unionByName(step).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).checkpoint()
-        changed = merged.join(best, ["id", "lo", "hi"], "left_anti").checkpoint()
+        merged = written(best.unionByName(step).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "labels")
+        changed = written(merged.join(best, ["id", "lo", "hi"], "left_anti"), "changed")
         best = merged
     return best
 
@@ -81,15 +85,27 @@ def bridge_tables(live: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def liveness(seeds: DataFrame, edges: DataFrame, flows: DataFrame | None = None, weak_seeds: DataFrame | None = None) -> DataFrame:
-    """Live ids: strong reach, then bridge tables until none is new, then weak reach from all of these."""
-    alive = reach(seeds, strong(edges)).select("id")
+    """Live ids: strong reach, then bridge tables until none is new, then weak reach from all of these.
+
+    ``flows`` (src, dst, and rel, is_active where known): a flow counts if its relationship is active or live.
+    Edges must be a table that is cheap to read again: each round reads them.
+    """
+    firm = strong(edges)
+    alive = reach(seeds, firm).select("id")
     while flows is not None:
-        bridges = bridge_tables(alive, flows)
+        if "rel" in flows.columns:
+            live_rels = alive.select(F.col("id").alias("rel"), F.lit(True).alias("on"))
+            own = flows.join(live_rels, "rel", "left").where("is_active or on").select("src", "dst")
+        else:
+            own = flows
+        bridges = bridge_tables(alive, own)
         if bridges.isEmpty():
             break
-        alive = reach(alive.unionByName(bridges), strong(edges)).select("id")
-    start = alive if weak_seeds is None else alive.unionByName(weak_seeds.select("id"))
-    return reach(start, weak(edges)).select("id")
+        alive = written(alive.unionByName(reach(bridges, firm).select("id")).distinct(), "alive")
+    start = alive if weak_seeds is None else alive.unionByName(weak_seeds.select("id")).distinct()
+    # What the strong pass may follow leads to live nodes already, but for weak seeds.
+    only_weak = edges.where(F.col("prov").isin(*(p for p in NOT_STRONG if p not in NOT_WEAK)))
+    return reach(start, weak(edges), first=only_weak if weak_seeds is None else None).select("id")
 
 
 def unused(nodes: DataFrame, live: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,3 +133,19 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def keep_paths_to(slice_edges: DataFrame, matches: DataFrame) -> DataFrame:
     """Nodes of a slice on a path to a match (id): reverse reach inside the slice."""
     return reach(matches, flipped(slice_edges)).select("id")
+
+
+def consumers(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """dst, consumer, prov: the objects that use each of ``of`` (dst)."""
+    return edges.join(of, "dst").select("dst", F.col("src").alias("consumer"), "prov")
+
+
+def producers(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """src, producer, prov: the objects that each of ``of`` (src) uses."""
+    return edges.join(of, "src").select("src", F.col("dst").alias("producer"), "prov")
+
+
+def root_counts(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, root_count: how many roots (id) use each object."""
+    mine = edges.join(roots.select(F.col("id").alias("src")), "src", "left_semi")
+    return mine.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("root_count"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import lexers, names
 from weftline.operators import findings as ops
 from weftline.operators import graph
+from weftline.plans import scan
 from weftline.plans.tables import GRAPH_SQL, LIVE_SQL, LOG_SQL, edges, nodes, query_log, roots, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,19 +70,22 @@ def used_by_chain(spark, d):
     return out.select(F.col("dst").alias("id"), F.col("src").alias("used_by"), "prov", F.coalesce("also_unused", F.lit(True)).alias("also_unused"))
 
 
-@query(
-    """with recursive flows as (select distinct 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union select distinct 'n' || s_nationkey, 's' || s_suppkey from supplier
+_FLOWS = """flows as (select distinct 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union select distinct 'n' || s_nationkey, 's' || s_suppkey from supplier
     union select distinct 'n' || n_nationkey, 'r' || n_regionkey from nation),
-    live as (select 'c' || c_custkey as id from customer where c_custkey % 3 = 0 union select 's' || s_suppkey from supplier where s_suppkey % 2 = 0),
-    fw as (select f.src as start, f.dst as id from flows f join live l on l.id = f.src anti join live x on x.id = f.dst union select w.start, f.dst from fw w join flows f on f.src = w.id anti join live x on x.id = f.dst),
-    bw as (select f.dst as fin, f.src as id from flows f join live l on l.id = f.dst anti join live x on x.id = f.src union select w.fin, f.src from bw w join flows f on f.dst = w.id anti join live x on x.id = f.src)
+    ends as (select 'c' || c_custkey as id from customer where c_mktsegment = 'BUILDING' union select 's' || s_suppkey from supplier where s_acctbal >= 5000)"""
+
+
+@query(
+    f"""with recursive {_FLOWS},
+    fw as (select f.src as start, f.dst as id from flows f join ends l on l.id = f.src anti join ends x on x.id = f.dst union select w.start, f.dst from fw w join flows f on f.src = w.id anti join ends x on x.id = f.dst),
+    bw as (select f.dst as fin, f.src as id from flows f join ends l on l.id = f.dst anti join ends x on x.id = f.src union select w.fin, f.src from bw w join flows f on f.dst = w.id anti join ends x on x.id = f.src)
     select distinct fw.id from fw join bw on fw.id = bw.id and fw.start <> bw.fin"""
 )
 def bridge_tables(spark, d):
     key = lambda m, c: F.concat(F.lit(m), F.col(c).cast("string"))
     c, s, n = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "nation")
     flows = c.select(key("c", "c_custkey").alias("src"), key("n", "c_nationkey").alias("dst")).unionByName(s.select(key("n", "s_nationkey").alias("src"), key("s", "s_suppkey").alias("dst"))).unionByName(n.select(key("n", "n_nationkey").alias("src"), key("r", "n_regionkey").alias("dst"))).distinct()
-    live = c.where("c_custkey % 3 = 0").select(key("c", "c_custkey").alias("id")).unionByName(s.where("s_suppkey % 2 = 0").select(key("s", "s_suppkey").alias("id")))
+    live = c.where("c_mktsegment = 'BUILDING'").select(key("c", "c_custkey").alias("id")).unionByName(s.where("s_acctbal >= 5000").select(key("s", "s_suppkey").alias("id")))
     return graph.bridge_tables(live, flows)
 
 
@@ -89,10 +93,10 @@ _SLICE = "slice as (select id, 0 as depth from {seed} union select e.{to}, s.dep
 
 
 def _orders(spark, d):
-    return nodes(spark, d).where("kind = 'orders' and id like 'o%7'").select("id")
+    return table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
 
 
-_SEED = "seed as (select id from nodes where kind = 'orders' and id like 'o%7'), "
+_SEED = "seed as (select 'o' || o_orderkey as id from orders where o_orderpriority = '1-URGENT'), "
 
 
 @query(f"{G}, {_SEED}{_SLICE.format(seed='seed', to='dst', at='src', n=2)} select id, cast(depth as integer) as depth from best")
@@ -100,9 +104,9 @@ def deps_slice_depth2(spark, d):
     return graph.slice_of(_orders(spark, d), edges(spark, d), 2)
 
 
-@query(f"{G}, seed as (select id from nodes where kind = 'supplier' and id like 's%1'), {_SLICE.format(seed='seed', to='src', at='dst', n=9)} select id, cast(depth as integer) as depth from best")
+@query(f"{G}, seed as (select 's' || s_suppkey as id from supplier where s_acctbal < 0), {_SLICE.format(seed='seed', to='src', at='dst', n=9)} select id, cast(depth as integer) as depth from best")
 def impact_slice(spark, d):
-    return graph.slice_of(nodes(spark, d).where("kind = 'supplier' and id like 's%1'").select("id"), edges(spark, d), None, impact=True)
+    return graph.slice_of(table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id")), edges(spark, d), None, impact=True)
 
 
 @query(f"{G}, {_SEED}{_SLICE.format(seed='seed', to='dst', at='src', n=2)} select e.src, e.dst, e.prov from edges e semi join best a on a.id = e.src semi join best b on b.id = e.dst")
@@ -123,18 +127,18 @@ def consumer_prune(spark, d):
 
 @query(f"{G} select src as consumer, prov from edges where dst = 's1'")
 def consumers_of(spark, d):
-    return edges(spark, d).where("dst = 's1'").select(F.col("src").alias("consumer"), "prov")
+    return graph.consumers(edges(spark, d), spark.createDataFrame([("s1",)], "dst string")).select("consumer", "prov")
 
 
-@query(f"{G} select src, dst as producer, prov from edges where src like 'l1-%' or src like 'o1%'")
+@query(f"{G} select e.src, e.dst as producer, e.prov from edges e semi join (select id from nodes where kind in ('orders', 'customer')) n on n.id = e.src")
 def producers_of(spark, d):
-    return edges(spark, d).where("src like 'l1-%' or src like 'o1%'").select("src", F.col("dst").alias("producer"), "prov")
+    mine = nodes(spark, d).where("kind in ('orders', 'customer')").select(F.col("id").alias("src"))
+    return graph.producers(edges(spark, d), mine)
 
 
 @query(f"{G} select e.dst as id, count(distinct r.id) as root_count from roots r join edges e on e.src = r.id group by e.dst")
 def roots_of(spark, d):
-    mine = edges(spark, d).join(roots(spark, d).select(F.col("id").alias("src")), "src", "left_semi")
-    return mine.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("root_count"))
+    return graph.root_counts(edges(spark, d), roots(spark, d))
 
 
 @query(f"{G} select kind, count(*) as objects from nodes group by kind")
@@ -214,13 +218,13 @@ def resolve_columns_fanout(spark, d):
 
 
 @query(
-    """with a as (select distinct l_partkey % 50 as x, l_suppkey % 50 as y from lineitem), b as (select distinct l_suppkey % 50 as x, l_partkey % 50 as y, l_linenumber as n from lineitem where l_linenumber < 3)
+    """with a as (select distinct l_partkey as x, l_suppkey as y from lineitem), b as (select distinct l_suppkey as x, l_partkey as y, l_linenumber as n from lineitem)
     select a.x, a.y, count(*) as hits from a join b on least(a.x, a.y) = least(b.x, b.y) and greatest(a.x, a.y) = greatest(b.x, b.y) group by a.x, a.y"""
 )
 def unordered_pair_join(spark, d):
     li = table(spark, d, "lineitem")
-    a = li.select((F.col("l_partkey") % 50).alias("x"), (F.col("l_suppkey") % 50).alias("y")).distinct().withColumn("pair", names.unordered_pair(F.col("x"), F.col("y")))
-    b = li.where("l_linenumber < 3").select((F.col("l_suppkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v"), "l_linenumber").distinct().withColumn("pair", names.unordered_pair(F.col("u"), F.col("v")))
+    a = li.select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")).distinct().withColumn("pair", names.unordered_pair(F.col("x"), F.col("y")))
+    b = li.select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), "l_linenumber").distinct().withColumn("pair", names.unordered_pair(F.col("u"), F.col("v")))
     return a.join(b, "pair").groupBy("x", "y").agg(F.count("*").alias("hits"))
 
 
@@ -235,7 +239,7 @@ def unused_storage(spark, d):
     return ops.unused_storage(dead, sizes)
 
 
-@query(f"{GL} select p_brand, count(*) as findings from part anti join live on live.id = 'p' || p_partkey group by p_brand order by findings desc, p_brand limit 10")
+@query(f"{GL} select p_brand, count(*) as findings, greatest(count(*) over () - 10, 0) as more from part anti join live on live.id = 'p' || p_partkey group by p_brand order by findings desc, lower(p_brand) limit 10")
 def worst_tables(spark, d):
     live = _live(spark, d, edges(spark, d))
     dead = table(spark, d, "part").withColumn("id", F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).join(live, "id", "left_anti")
@@ -250,13 +254,13 @@ def attach_storage_coverage(spark, d):
 
 def _snapshot(spark, d, where):
     o = table(spark, d, "orders").where(where)
-    key = names.object_key(F.col("o_orderpriority"), F.col("o_custkey") % 4000).alias("key")
-    kind = F.when(F.col("o_orderstatus") == "P", "duplicate_measure").otherwise("unused")
+    key = names.object_key(F.col("o_orderpriority"), F.col("o_custkey")).alias("key")
+    kind = F.when(F.col("o_orderstatus") == "P", "duplicate_measure").when(F.col("o_orderpriority") == "3-MEDIUM", "broken_visual").otherwise("unused")
     return o.groupBy(key).agg(F.min(kind).alias("kind"), F.min(names.fold_name(F.col("o_orderpriority"))).alias("subject"))
 
 
 _BEFORE, _AFTER = "o_orderdate < timestamp_ntz '1998-01-01'", "o_orderdate >= timestamp_ntz '1997-06-01'"
-_SNAP = "select lower(o_orderpriority || chr(31) || cast(o_custkey % 4000 as varchar)) as key, min(case when o_orderstatus = 'P' then 'duplicate_measure' else 'unused' end) as kind, min(lower(o_orderpriority)) as subject from orders where {} group by 1"
+_SNAP = "select lower(o_orderpriority || chr(31) || cast(o_custkey as varchar)) as key, min(case when o_orderstatus = 'P' then 'duplicate_measure' when o_orderpriority = '3-MEDIUM' then 'broken_visual' else 'unused' end) as kind, min(lower(o_orderpriority)) as subject from orders where {} group by 1"
 _SNAPS = "b as (" + _SNAP.format("o_orderdate < timestamp '1998-01-01'") + "), a as (" + _SNAP.format("o_orderdate >= timestamp '1997-06-01'") + ")"
 
 
@@ -270,6 +274,12 @@ def compare_fixed(spark, d):
     return ops.fixed(_snapshot(spark, d, _BEFORE), _snapshot(spark, d, _AFTER)).select("key", "kind")
 
 
+@query(f"with {_SNAPS} select b.key, b.kind from b anti join a using (key) where b.kind = 'broken_visual'")
+def compare_fixed_skipped(spark, d):
+    """A baseline without reports: only breakage can be fixed."""
+    return ops.fixed(_snapshot(spark, d, _BEFORE), _snapshot(spark, d, _AFTER), skipped=True).select("key", "kind")
+
+
 @query(f"with {_SNAPS} select a.key, case when s.subject is not null then 'unverified' else 'new' end as status from a left join (select distinct subject from b where subject <> '5-low') s using (subject)")
 def baseline_skipped_unverified(spark, d):
     before = _snapshot(spark, d, _BEFORE)
@@ -277,13 +287,12 @@ def baseline_skipped_unverified(spark, d):
 
 
 @query(
-    r"""with t as (select conv_id * 1000 + turn as id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') as w from conversations),
-    p as (select id, sha256(array_to_string(w, chr(31))) as fingerprint, len(w) as n from t) select fingerprint, count(*) as members, min(id) as first_id, max(id) as last_id from p where n >= 4 group by fingerprint having count(*) > 1"""
+    """with t as (select p_partkey, lower(p_brand) as b, lower(p_type) as t from part), f as (select p_partkey, sha256('isum' || chr(31) || 'o(' || chr(31) || 'i' || b || chr(31) || 'b[' || t || ']' || chr(31) || 'o)') as fingerprint from t)
+    select fingerprint, count(*) as members, min(p_partkey) as first_id, max(p_partkey) as last_id from f group by fingerprint having count(*) > 1"""
 )
 def duplicates_by_fingerprint(spark, d):
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    prints = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.sha2(F.array_join(words, "\u001f"), 256).alias("fingerprint"), F.size(words).alias("n_tokens"))
-    return ops.duplicates(prints)
+    p = table(spark, d, "part").select("p_partkey", F.expr("concat('SUM( ', \"'\", p_brand, \"'\", '[', p_type, ']) /* ', p_name, ' */')").alias("text"))
+    return ops.duplicates(lexers.dax_fingerprints(p).withColumnRenamed("p_partkey", "id"))
 
 
 _LINES = "with t as (select doc_id as id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as l from documents where text is not null), e as (select id, unnest(l) as line_text, unnest(range(1, len(l) + 1)) as line from t) "
@@ -291,12 +300,12 @@ _LINES = "with t as (select doc_id as id, string_split(replace(text, chr(13) ||
 
 @query(_LINES + 'select id, line, cast(instr(lower(line_text), \'license\') as bigint) as "column" from e where instr(lower(line_text), \'license\') > 0')
 def search_literal_lines(spark, d):
-    return ops.search_lines(table(spark, d, "documents"), "doc_id", "text", "License")
+    return ops.search_lines(table(spark, d, "documents"), "doc_id", "text", "License").drop("text")
 
 
 @query(_LINES + "select id, line, cast(instr(line_text, regexp_extract(line_text, 'token = .[0-9a-f]+')) as bigint) as \"column\" from e where regexp_matches(line_text, 'token = .[0-9a-f]+')")
 def search_regex_lines(spark, d):
-    return ops.search_lines(table(spark, d, "documents"), "doc_id", "text", "token = .[0-9a-f]+", regex=True)
+    return ops.search_lines(table(spark, d, "documents"), "doc_id", "text", "token = .[0-9a-f]+", regex=True, case=True).drop("text")
 
 
 @query("select p_partkey, p_name from part where lower(p_name) not like '%ring%' and not (lower(p_name) glob 's?all *')")
@@ -316,19 +325,12 @@ def sarif_fingerprint(spark, d):
 
 
 @query(
-    """select page_id, case when url like '%.org/%' then 'path' when regexp_extract(url, '//([^./]*)', 1) in ('www', 'm') then 'stem' when url like '%page=%' then 'catalog' else 'none' end as tier from pages"""
+    f"{GL}, bound as (select distinct 'o' || l_orderkey as id from lineitem where l_returnflag = 'R' and l_quantity >= 49) select o_orderkey, case when bound.id is not null then 'in_use' when live.id is null then 'dead' else 'unused_by_reports' end as verdict from orders left join live on live.id = 'o' || o_orderkey left join bound on bound.id = 'o' || o_orderkey"
 )
-def pairing_tiers(spark, d):
-    u = F.col("url")
-    tier = F.when(u.contains(".org/"), "path").when(F.regexp_extract(u, "//([^./]*)", 1).isin("www", "m"), "stem").when(u.contains("page="), "catalog").otherwise("none")
-    return table(spark, d, "pages").select("page_id", tier.alias("tier"))
-
-
-@query(f"{GL} select o_orderkey, case when o_orderstatus = 'P' then 'bound' when live.id is null then 'unused' else 'in_use' end as verdict from orders left join live on live.id = 'o' || o_orderkey")
 def auto_date_verdict(spark, d):
-    live = _live(spark, d, edges(spark, d)).withColumn("alive", F.lit(True))
-    o = table(spark, d, "orders").withColumn("id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
-    return o.join(live, "id", "left").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "bound").when(F.col("alive").isNull(), "unused").otherwise("in_use").alias("verdict"))
+    bound = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id")).distinct()
+    tables = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    return scan.date_verdicts(tables, bound, _live(spark, d, edges(spark, d))).select("o_orderkey", "verdict")
 
 
 @query(
@@ -344,51 +346,37 @@ def broken_reason(spark, d):
 
 
 @query(
-    """select c_custkey, case when c_acctbal < 0 then c_acctbal is not null and false when c_mktsegment = 'BUILDING' then true else c_nationkey = 1 and false end as both_ways from customer"""
+    """with s as (select p_partkey, cast(p_partkey as bigint) * case p_partkey % 5 when 0 then 1 when 1 then 1000 when 2 then 1000000 when 3 then 1000000000 else 1000000000000 end as size from part)
+    select p_partkey, case when size < 1024 then cast(size as varchar) || ' B' when size < 1048576 then printf('%.1f KB', size / 1024) when size < 1073741824 then printf('%.1f MB', size / 1048576)
+    when size < 1099511627776 then printf('%.1f GB', size / 1073741824) else printf('%.1f TB', size / 1099511627776) end as shown from s"""
 )
-def both_ways_rule(spark, d):
-    c = table(spark, d, "customer")
-    behaviour = F.when(F.col("c_acctbal") < 0, "oneDirection").when(F.col("c_mktsegment") == "BUILDING", "bothDirections")
-    return c.select("c_custkey", names.filters_both_ways(behaviour, F.lit("many"), F.lit(None).cast("string")).alias("both_ways"))
+def byte_format(spark, d):
+    step = F.element_at(F.array(*(F.lit(x).cast("long") for x in (1, 1000, 1_000_000, 1_000_000_000, 1_000_000_000_000))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", names.format_bytes(F.col("p_partkey") * step).alias("shown"))
 
 
-@query("select p_partkey, case when p_partkey * 1000 < 1024 then cast(p_partkey * 1000 as varchar) || ' B' else 'more' end as shown from part")
-def byte_format(spark, d):
-    size = F.col("p_partkey") * 1000
-    return table(spark, d, "part").select("p_partkey", F.when(size < 1024, names.format_bytes(size)).otherwise("more").alias("shown"))
+#: The token pattern in the dialect of the SQL oracle: no possessive parts, no lookahead.
+_TOKENS = "|".join([r"\s+", r"(?:--|//)[^\r\n]*", r"/\*(?s:.*?)(?:\*/|\z)", '[dD][tT]"(?:""|[^"])*"?', '"(?:""|[^"])*"?', "'(?:''|[^'])*'?", r"\[[^\]]*\]?", r"@[\p{L}\p{N}_]*", r"(?:[0-9][0-9.]*|\.[0-9][0-9.]*)(?:[eE][+-]?[0-9]+)?", r"[\p{L}_][\p{L}\p{N}_]*(?:\.[\p{L}\p{N}_]+)*", r"&&|\|\||<=|>=|<>|==", "(?s:.)"]).replace("'", "''")
 
 
 @query(
-    """with s as (select p_partkey, p_partkey * case p_partkey % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 1000000000 end as size from part)
-    select p_partkey, case when size < 1024 then cast(size as varchar) || ' B' when size < 1048576 then format('{:,.1f} KB', size / 1024) when size < 1073741824 then format('{:,.1f} MB', size / 1048576)
-    else format('{:,.1f} GB', size / 1073741824) end as shown from s"""
+    f"""with t as (select conv_id * 1000 + turn as expr_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TOKENS}')) as t from conversations),
+    k as (select *, case when regexp_matches(t, '^\\s') then 'space' when t like '--%' or t like '//%' or t like '/*%' then 'comment' when t like '''%' then 'table' when t like '"%' then 'string' when t like '[%' then 'bracket' when t like '@%' then 'parameter'
+      when regexp_matches(t, '^[dD][tT]"') then 'date' when regexp_matches(t, '^([0-9]|\\.[0-9])') then 'number' when regexp_matches(t, '^[\\p{{L}}_]') then 'name' when t in ('&&', '||', '<=', '>=', '<>', '==') then 'operator' else 'other' end as kind from t)
+    select expr_id, kind, count(*) as tokens, cast(sum(length(t)) as bigint) as chars from k group by all"""
 )
-def byte_format_units(spark, d):
-    step = F.element_at(F.array(*(F.lit(x) for x in (1, 1000, 1_000_000, 1_000_000_000))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", names.format_bytes(F.col("p_partkey") * step).alias("shown"))
-
-
-@query()
 def dax_token_counts(spark, d):
     t = lexers.dax_tokens(table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "text")
     return t.groupBy("expr_id", "kind").agg(F.count("*").alias("tokens"), F.sum(F.char_length("token")).alias("chars"))
 
 
-@query()
+@query("select p_partkey, unnest(['function', 'field', 'function', 'field', 'field', 'table']) as shape, unnest([null, p_brand, null, null, 'Sales', null]) as table_name, unnest(['SUM', p_name, 'CALCULATE', 'Total', 'Qty', 'IN']) as name from part")
 def dax_refs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.expr("concat('SUM ( ', \"'\", p_brand, \"'\", '[', p_name, '] ) + CALCULATE([Total], Sales[Qty] > 1) -- x')").alias("text"))
-    return lexers.dax_refs(lexers.dax_tokens(p, "p_partkey", "text"))
-
-
-@query()
-def dax_fingerprints(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.expr("concat('SUM(', p_brand, '[', p_type, ']) /* ', p_name, ' */')").alias("text"))
-    return ops.duplicates(lexers.dax_fingerprints(lexers.dax_tokens(p, "p_partkey", "text")).withColumnRenamed("expr_id", "id"))
+    p = table(spark, d, "part").select("p_partkey", F.expr("concat('SUM ( ', \"'\", p_brand, \"'\", '[', p_name, '] ) + CALCULATE([Total], Sales[Qty] IN {1}) -- x')").alias("text"))
+    return lexers.dax_refs(p).select("p_partkey", "shape", "table_name", "name")
 
 
-@query()
+@query("select p_partkey, p_name, cast(damerau_levenshtein(lower(p_name), 'smlal rnig') as bigint) as distance from part where damerau_levenshtein(lower(p_name), 'smlal rnig') <= 2 order by distance, p_name, p_partkey limit 1")
 def suggest_nearest(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", F.lower("p_name").alias("key"))
-    wanted = "smlal rnig"
-    near = p.withColumn("distance", lexers.osa(F.col("key"), F.lit(wanted))).where(F.col("distance") <= max(2, len(wanted) // 4))
-    return near.orderBy("distance", "p_name", "p_partkey").limit(1).select("p_partkey", "p_name", "distance")
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return lexers.near_names(p, "p_name", "smlal rnig").orderBy("distance", "p_name", "p_partkey").limit(1).select("p_partkey", "p_name", F.col("distance").cast("long").alias("distance"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.tables import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,16 +34,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for kind, name, mark, keys in NODES:
         part = table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), _id(mark, *keys).alias("id"))
+        part = part.distinct() if name == "lineitem" else part  # only its keys repeat
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, mark, keys, to, col, prov in EDGES:
         part = table(spark, sf_dir, name).select(_id(mark, *keys).alias("src"), _id(to, col).alias("dst"), F.lit(prov).alias("prov"))
+        part = part.distinct() if name == "lineitem" else part
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return written(out, "edges")
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
