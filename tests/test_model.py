@@ -106,3 +106,33 @@ def test_tmdl_shapes():
     with pytest.raises(ValueError):
         facts("table\n")
     assert set(TMDL) >= {"model.tmdl"}
+
+
+def test_writers(analysis, spark):
+    from weftline.sinks import writers
+
+    rows = writers.issues(analysis).cache()
+    doc = json.loads(writers.sarif(rows).where(F.col("model") == M).first().document)
+    run = doc["runs"][0]
+    assert len(run["tool"]["driver"]["rules"]) == 15 and doc["version"] == "2.1.0"
+    dead = next(r for r in run["results"] if r["locations"][0]["logicalLocations"][0]["fullyQualifiedName"] == "'Shop'[Dead]")
+    assert dead["ruleId"] == "WEFT-UNUSED-MEASURE" and run["tool"]["driver"]["rules"][dead["ruleIndex"]]["id"] == dead["ruleId"]
+    assert dead["locations"][0]["physicalLocation"]["artifactLocation"]["uri"].endswith("tables/Shop.tmdl") and dead["locations"][0]["physicalLocation"]["region"]["startLine"] > 10
+    assert [r["level"] for r in run["results"] if r["ruleId"] == "WEFT-BROKEN-VISUAL"] == ["error"] * 3
+    lines = [r.value for r in writers.commands(rows).collect()]
+    assert any(x.startswith("##vso[task.logissue type=warning;sourcepath=") and "code=WEFT-UNUSED-MEASURE;]'Shop'[Dead] is unused" in x for x in lines)
+    known = rows.where("id = \"'Shop'[Dead]\"").select("key")
+    later = writers.issues(analysis, known)
+    assert [r.id for r in later.where("existing").collect()] == ["'Shop'[Dead]"] and writers.commands(later).count() == len(lines) - 1
+    text = writers.markdown(rows, cap=2).where(F.col("model") == M).first().document
+    assert "| measure | " in text and " more" in text and text.count("` |") == 2
+    doc = json.loads(writers.scan_json(analysis).where(F.col("model") == M).first().document)
+    assert doc["summary"]["unused"] == len([u for u in doc["unused"]]) and {b["reason"] for b in doc["broken"]} == {"measure_not_found", "field_not_found", "bound_artifact_broken"}
+    assert doc["broken_artifacts"][0]["unresolved_references"] == ["'Shop'[Gone]", "[Nothing]"]
+    gone = [json.loads(r.value) for r in writers.removable(analysis).collect() if not r.value.startswith("#")]
+    assert {"kind": "measure", "table": "Shop", "name": "Dead", "id": "'Shop'[Dead]"} in gone
+    assert spark.createDataFrame([("é😀\"x",)], "t string").select(writers.ascii_json(F.col("t"))).first()[0] == '\\u00e9\\ud83d\\ude00"x'
+    inv = json.loads(writers.inventory_json(scan.inventory(analysis)).first().document)
+    assert inv["unresolved"] == 3 and {p.get("page") for p in inv["pages"]} == {"P1", "p1", "Gone", None}
+    assert json.loads(writers.search_json(scan.search(analysis, "Dead Too")).first().value)["property"] == "measure"
+    assert len(writers.stub_files("A", "../M.SemanticModel")) == 3

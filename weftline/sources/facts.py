@@ -8,12 +8,18 @@ owns it, its name, its place in source order, and its properties as JSON. Reader
 from __future__ import annotations
 
 import json
+import sqlite3
+import struct
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What parsing a malformed file can raise.
+MALFORMED = (ValueError, KeyError, TypeError, AttributeError, IndexError, RecursionError, EOFError, SyntaxError, zipfile.BadZipFile, zlib.error, struct.error, sqlite3.Error)
 FACT = "model string, path string, line int, kind string, tbl string, name string, seq long, props string"
 NAMES = [part.split()[0] for part in FACT.split(", ")]
 TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -42,7 +48,7 @@ def parse_files(files: DataFrame, parse: Callable[[Facts, bytes], None]) -> Data
                 facts = Facts(model, path)
                 try:
                     parse(facts, content if content is not None else b"")
-                except (ValueError, KeyError, TypeError, RecursionError) as e:  # a malformed file; other files go on
+                except MALFORMED as e:  # other files go on
                     facts.rows = []
                     facts.skip("malformed_value", f"{type(e).__name__}: {e}"[:300])
                 if facts.rows:
