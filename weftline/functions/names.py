@@ -89,7 +89,7 @@ def strip_wait_time(text: Column) -> Column:
 
 
 def query_language(text: Column) -> Column:
-    return F.when(F.upper(F.regexp_extract(F.ltrim(text), "^([A-Za-z]*)", 1)).isin("SELECT", "WITH", "DRILLTHROUGH"), "mdx").otherwise("dax")
+    return F.when(F.upper(F.regexp_extract(text, r"\A\s*([A-Za-z]*)", 1)).isin("SELECT", "WITH", "DRILLTHROUGH"), "mdx").otherwise("dax")
 
 
 def fingerprint(key: Column) -> Column:

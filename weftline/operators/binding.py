@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import lexers, names
-from weftline.operators.model import Model, fold, object_id, structural_edges, union
+from weftline.operators.graph import dedupe_edges
+from weftline.operators.model import PROPS, Model, dax_expressions, fold, m_expressions, object_id, structural_edges, union
+from weftline.sources.apps import looks_like_dax
+from weftline.sources.facts import typed
 
 #: Why a binding is broken.
 REASONS = "table_not_found field_not_found measure_not_found hierarchy_not_found level_not_found bound_artifact_broken".split()
@@ -28,10 +31,11 @@ class Index:
 
     def __init__(self, m: Model):
         self.model = m
-        self.tables = first_of(m.tables(), ["model", "table_key"])
-        self.columns = first_of(m.owned("column"), ["model", "table_key", "name_key"])
-        self.measures = first_of(m.owned("measure"), ["model", "name_key"])
-        self.hierarchies = first_of(m.owned("hierarchy"), ["model", "table_key", "name_key"])
+        own = lambda rows, keys, tag: m.keep(first_of(rows, keys), tag)
+        self.tables = own(m.tables(), ["model", "table_key"], "ix-tables")
+        self.columns = own(m.owned("column"), ["model", "table_key", "name_key"], "ix-columns")
+        self.measures = own(m.owned("measure"), ["model", "name_key"], "ix-measures")
+        self.hierarchies = own(m.owned("hierarchy"), ["model", "table_key", "name_key"], "ix-hierarchies")
         self.items = m.owned("calculation_item").select("model", "table_key", "name_key", "id")
         self.expressions = first_of(m.shared("expression"), ["model", "name_key"])
         self.functions = first_of(m.shared("function"), ["model", "name_key"])
@@ -116,18 +120,19 @@ def activated(exprs: DataFrame, m: Model) -> DataFrame:
     return calls.join(known, ["model", "pair"]).select("owner", "target").distinct()
 
 
-def dax_edges(m: Model, ix: Index) -> DataFrame:
-    """Edges of all DAX expressions: each owner to whatever its expression may mean."""
-    exprs = numbered_model = numbered(m_dax(m))
-    bound = bind_dax(dax_references(exprs), ix)
-    act = activated(numbered_model, m).select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.lit("measure").alias("prov"))
-    return bound.select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.col("kind").alias("prov")).unionByName(act)
+class Dax:
+    """All DAX of the models: its expressions, their references, and what these may mean; each written once."""
 
+    def __init__(self, m: Model, ix: Index):
+        self.exprs = m.keep(numbered(dax_expressions(m)), "dax-exprs")
+        self.refs = m.keep(dax_references(self.exprs), "dax-refs")
+        self.bound = m.keep(bind_dax(self.refs, ix), "dax-bound")
 
-def m_dax(m: Model) -> DataFrame:
-    from weftline.operators.model import dax_expressions
 
-    return dax_expressions(m)
+def dax_edges(dax: Dax, m: Model) -> DataFrame:
+    """Edges of all DAX expressions: each owner to whatever its expression may mean."""
+    act = activated(dax.exprs, m).select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.lit("measure").alias("prov"))
+    return dax.bound.select(F.col("owner").alias("src"), F.col("target").alias("dst"), F.col("kind").alias("prov")).unionByName(act)
 
 
 def bind_m(m: Model, ix: Index) -> tuple[DataFrame, DataFrame]:
@@ -136,8 +141,6 @@ def bind_m(m: Model, ix: Index) -> tuple[DataFrame, DataFrame]:
     A qualified field names its table and that table's column; a bare field or column text names every such column.
     M that names a column keeps nothing alive: the engine refreshes without it.
     """
-    from weftline.operators.model import m_expressions
-
     refs = lexers.m_refs_of(m_expressions(m), "text").withColumn("name_key", fold("name"))
     name = refs.where("shape = 'name'")
     tables = _target(name, ix.tables, {"model": "model", "name_key": "table_key"}, "table")
@@ -159,16 +162,11 @@ def bind_m(m: Model, ix: Index) -> tuple[DataFrame, DataFrame]:
 
 def opaque_sources(m: Model) -> DataFrame:
     """owner of M expressions that pass a native query on, whose names cannot be read."""
-    from weftline.operators.model import m_expressions
-
     return lexers.m_refs_of(m_expressions(m), "text").where("shape = 'native'").select("model", "owner", F.lit("opaque_source").alias("skip_kind")).distinct()
 
 
 def report_measures(reports: DataFrame) -> DataFrame:
     """report, name_key, id, expr, format of the reports' own measures."""
-    from weftline.operators.model import PROPS
-    from weftline.sources.facts import typed
-
     rows = typed(reports, "report_measure", PROPS["report_measure"])
     return rows.select(F.col("model").alias("report"), fold("name").alias("name_key"), F.concat_ws("\u001f", F.col("model"), F.lit("report_measure"), fold("name")).alias("id"), "name", "seq", "expr", "format")
 
@@ -207,11 +205,9 @@ def unresolved_fields(refs: DataFrame, bound: DataFrame, ix: Index, exprs: DataF
     return bare.unionByName(qualified.select(bare.columns))
 
 
-def broken_artifacts(m: Model, ix: Index, schemas: DataFrame) -> DataFrame:
+def broken_artifacts(dax: Dax, ix: Index, schemas: DataFrame) -> DataFrame:
     """owner, refs: objects whose DAX names what is not there, with the names, sorted."""
-    exprs = numbered(m_dax(m))
-    refs = dax_references(exprs)
-    lost = unresolved_fields(refs, bind_dax(refs, ix), ix, exprs, schemas)
+    lost = unresolved_fields(dax.refs, dax.bound, ix, dax.exprs, schemas)
     return lost.groupBy("owner").agg(F.array_sort(F.collect_set("written")).alias("refs"))
 
 
@@ -222,7 +218,7 @@ def bind_reports(bindings: DataFrame, paired: DataFrame, m: Model, ix: Index, sc
     why it is broken, if it is; a table that lost a field is still kept alive by who asks for the field.
     """
     b = bindings.join(paired, "report").withColumns({"binding": F.concat_ws("\u001d", "report", "path", "seq"), "table_key": fold("tbl"), "name_key": fold("name"), "hierarchy_key": fold("hierarchy"), "level_key": fold("level")})
-    b = b.withColumn("measure_table", F.col("table_key"))
+    b, measures = m.keep(b, "bindings"), m.keep(measures, "report-measures")
     out = []
     keep = ["model", "report", "binding", "site", "page", "visual", "bookmark", "role", "mobile", "stale", "tkind", "tbl", "name", "hierarchy", "level", "seq"]
 
@@ -342,8 +338,6 @@ def app_roots(literals: DataFrame, ix: Index) -> DataFrame:
     A literal that reads like a query binds as one; a whole name on one line is a table, a measure, or a column of
     the tables the app names, of any table if it names none.
     """
-    from weftline.sources.apps import looks_like_dax
-
     lit = literals.withColumns({"query": F.concat_ws("\u001d", "app", "path", "line", F.md5("text")), "is_dax": looks_like_dax(F.col("text"))}).dropDuplicates(["query"])
     asked = query_roots(lit.where("is_dax").select("query", "model", F.lit("dax").alias("language"), "text"), ix)
     place = lit.select("query", "app", "path", "line")
@@ -359,8 +353,6 @@ def app_roots(literals: DataFrame, ix: Index) -> DataFrame:
 
 def anchored_breakage(literals: DataFrame, ix: Index, schemas: DataFrame) -> DataFrame:
     """app, path, line, written, reason of references in DAX literals that name nothing, where another reference of the literal does resolve."""
-    from weftline.sources.apps import looks_like_dax
-
     lit = literals.where(looks_like_dax(F.col("text"))).withColumn("expr", F.concat_ws("\u001d", "app", "path", "line", F.md5("text"))).dropDuplicates(["expr"])
     exprs = lit.select("model", "expr", F.col("expr").alias("owner"), F.lit("code").alias("kind"), F.lit(None).cast("string").alias("home_key"), "text")
     refs = dax_references(exprs)
@@ -372,8 +364,6 @@ def anchored_breakage(literals: DataFrame, ix: Index, schemas: DataFrame) -> Dat
     return lost.join(tables, ["model", "table_key"], "left").join(lit.select("expr", "app", "path", "line"), "expr").select("app", "path", "line", "written", why.alias("reason")).distinct()
 
 
-def model_edges(m: Model, ix: Index, more: list[DataFrame] | None = None) -> DataFrame:
+def model_edges(m: Model, dax: Dax, m_edges: DataFrame, more: list[DataFrame] | None = None) -> DataFrame:
     """All edges of the models: structural, DAX, M, and ``more``, without loops and repeats."""
-    from weftline.operators.graph import dedupe_edges
-
-    return dedupe_edges(union([structural_edges(m), dax_edges(m, ix), bind_m(m, ix)[0], *(more or [])]))
+    return dedupe_edges(union([structural_edges(m), dax_edges(dax, m), m_edges, *(more or [])]))

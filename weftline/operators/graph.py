@@ -149,3 +149,27 @@ def root_counts(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """id, root_count: how many roots (id) use each object."""
     mine = edges.join(roots.select(F.col("id").alias("src")), "src", "left_semi")
     return mine.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("root_count"))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """id, neighbour, prov: each pair of objects once, with the first of its provenances."""
+    return edges.groupBy(F.col("src").alias("id"), F.col("dst").alias("neighbour")).agg(F.min("prov").alias("prov"))
+
+
+def reached_by(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, id: what each root (id) reaches, itself included: a reach that keeps its label."""
+    spark = roots.sparkSession
+    paths = [new_path(spark, "reached")]
+    write(roots.select(F.col("id").alias("root"), "id").distinct(), paths[0])
+    read = lambda *p: spark.read.schema("root string, id string").parquet(*p)
+    while not read(paths[-1]).isEmpty():
+        new = read(paths[-1]).join(edges.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id")).distinct()
+        paths.append(new_path(spark, "reached"))
+        write(new.join(read(*paths[:-1]), ["root", "id"], "left_anti"), paths[-1])
+    return read(*paths)
+
+
+def signed_distances(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, distance: edges away from the root, negative for what uses it."""
+    up = reach(root, flipped(edges)).where("depth > 0").select("id", (-F.col("depth")).alias("distance"))
+    return up.unionByName(reach(root, edges).select("id", F.col("depth").alias("distance")))

@@ -52,15 +52,24 @@ def object_id(kind: str, *parts: str | Column, model: str = "model") -> Column:
 
 
 class Model:
-    """Facts of models, by kind, materialised once."""
+    """Facts of models, and the typed table of each kind, each written once when it is first asked for.
+
+    What is built of them joins many small tables many times; plans over written tables stay small, and
+    joins know which side is small. Without ``materialise`` nothing is written.
+    """
 
     def __init__(self, facts: DataFrame, materialise: bool = True):
-        if materialise:
-            facts = written(facts, "facts")
-        self.facts = facts
+        self.materialise, self.held = materialise, {}
+        self.facts = written(facts, "facts") if materialise else facts
 
     def of(self, kind: str) -> DataFrame:
-        return typed(self.facts, kind, PROPS[kind])
+        if kind not in self.held:
+            rows = typed(self.facts, kind, PROPS[kind])
+            self.held[kind] = written(rows, kind) if self.materialise else rows
+        return self.held[kind]
+
+    def keep(self, rows: DataFrame, tag: str) -> DataFrame:
+        return written(rows, tag) if self.materialise else rows
 
     def tables(self) -> DataFrame:
         return self.of("table").withColumns({"table_key": fold("name"), "id": object_id("table", "name")})

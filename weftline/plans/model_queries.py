@@ -24,7 +24,7 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str) -> md.Model:
-    return md.Model(_facts(spark, d))
+    return md.Model(_facts(spark, d))  # written once for each query
 
 
 def _kind(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -205,7 +205,7 @@ def model_m_expressions(spark, d):
 @query(f"{W}, {DAX} select distinct src, dst, prov from dax")
 def model_dax_edges(spark, d):
     m = _model(spark, d)
-    return graph.dedupe_edges(binding.dax_edges(m, binding.Index(m)))
+    return graph.dedupe_edges(binding.dax_edges(binding.Dax(m, binding.Index(m)), m))
 
 
 @query(f"{W}, {M_EDGES} select distinct src, dst, prov from m_edges")
@@ -234,7 +234,7 @@ def model_kept(spark, d):
 def model_broken_artifacts(spark, d):
     m = _model(spark, d)
     ix = binding.Index(m)
-    return binding.broken_artifacts(m, ix, binding.calculated_schemas(m, ix)).select("owner", F.array_join("refs", ",").alias("refs"))
+    return binding.broken_artifacts(binding.Dax(m, ix), ix, binding.calculated_schemas(m, ix)).select("owner", F.array_join("refs", ",").alias("refs"))
 
 
 @query(f"{W}, dates as (select {_sid('table', chr(39) + 't ' + chr(39) + ' || n')} as id, '''T ' || k || '''[Key]' as source_column from p where k % 12 = 0) select id, source_column from dates")
@@ -309,7 +309,7 @@ def _bound(spark: SparkSession, d: str) -> tuple[md.Model, binding.Index, DataFr
     ix = binding.Index(m)
     schemas = binding.calculated_schemas(m, ix)
     f = written(_report(spark, d))
-    rows = binding.bind_reports(pbir.bindings(f), rendered.pairing(spark), m, ix, schemas, binding.broken_artifacts(m, ix, schemas), binding.report_measures(f))
+    rows = binding.bind_reports(pbir.bindings(f), rendered.pairing(spark), m, ix, schemas, binding.broken_artifacts(binding.Dax(m, ix), ix, schemas), binding.report_measures(f))
     return m, ix, rows
 
 

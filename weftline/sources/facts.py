@@ -39,22 +39,26 @@ class Facts:
         self.add("skip", None, None, line, skip_kind=kind, detail=detail, at=at)
 
 
-def parse_files(files: DataFrame, parse: Callable[[Facts, bytes], None]) -> DataFrame:
-    """Facts of all files (model, path, content): ``parse`` adds the facts of one; a file that it cannot read becomes a notice."""
+def parse_files(files: DataFrame, parse: Callable[[Facts, bytes], None] | dict[str, Callable[[Facts, bytes], None]]) -> DataFrame:
+    """Facts of all files (model, path, content): ``parse`` adds the facts of one; a file that it cannot read becomes a notice.
+
+    With a dict, each file (which then has ``format``) goes to the reader of its format.
+    """
+    many = isinstance(parse, dict)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for model, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for model, path, content, *kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 facts = Facts(model, path)
                 try:
-                    parse(facts, content if content is not None else b"")
+                    (parse[kind[0]] if many else parse)(facts, content if content is not None else b"")
                 except MALFORMED as e:  # other files go on
                     facts.rows = []
                     facts.skip("malformed_value", f"{type(e).__name__}: {e}"[:300])
                 if facts.rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*facts.rows, strict=True), TYPES, strict=True)], names=NAMES)
 
-    return files.select("model", "path", F.col("content").cast("binary").alias("content")).mapInArrow(run, FACT)
+    return files.select("model", "path", F.col("content").cast("binary").alias("content"), *(["format"] if many else [])).mapInArrow(run, FACT)
 
 
 def decode_text(raw: bytes) -> str:
