@@ -17,7 +17,7 @@ from weftline.sources import dispatch
 def load(spark: SparkSession, folder: str) -> scan.Analysis:
     """All models and reports below a folder, each report against the model it is paired with."""
     models, reports = dispatch.model_facts(spark, folder), dispatch.report_facts(spark, folder)
-    pairs = scan.pair_reports(dispatch.datasets(reports), dispatch.named_models(spark, folder, models)).where("model is not null").select("report", "model")
+    pairs = scan.pair_reports(dispatch.datasets(reports), dispatch.named_models(spark, models)).where("model is not null").select("report", "model")
     return scan.analyse(models, reports, pairs)
 
 

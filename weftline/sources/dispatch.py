@@ -48,15 +48,35 @@ def size_facts(spark: SparkSession, folder: str) -> DataFrame:
     return _read(read_files(spark, folder), SIZE_READERS)
 
 
-def cached_backups(spark: SparkSession, folder: str) -> DataFrame:
+def beside(spark: SparkSession, facts: DataFrame, name: str, read: bool = True) -> DataFrame:
+    """model, path, content (if ``read``) of the file of that name in each model's folder, where there is one.
+
+    Spark neither lists nor opens names that start with a dot, so the driver opens them by their paths: one
+    small file a model.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for r in facts.select("model").distinct().toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{r['model']}/{name}")
+        files = path.getFileSystem(conf)
+        if files.exists(path):
+            content = None
+            if read:
+                stream = files.open(path)
+                content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                stream.close()
+            found.append((r["model"], path.toString(), content))
+    return spark.createDataFrame(found, "model string, path string, content binary")
+
+
+def cached_backups(spark: SparkSession, facts: DataFrame) -> DataFrame:
     """model, path of the cached backups that lie beside model folders; there may be none."""
-    return read_files(spark, folder, "*.abf").where(F.col("path").rlike(r"/\.pbi/[^/]*\.abf\z")).select(F.regexp_replace("path", r"/\.pbi/[^/]*\z", "").alias("model"), "path")
+    return beside(spark, facts, ".pbi/cache.abf", read=False).drop("content")
 
 
-def named_models(spark: SparkSession, folder: str, facts: DataFrame) -> DataFrame:
+def named_models(spark: SparkSession, facts: DataFrame) -> DataFrame:
     """model, display_name of the models that ``facts`` holds."""
-    shown = display_names(read_files(spark, folder, ".platform"))
-    return facts.select("model").distinct().join(shown, "model", "left")
+    return facts.select("model").distinct().join(display_names(beside(spark, facts, ".platform")), "model", "left")
 
 
 def datasets(facts: DataFrame) -> DataFrame:
