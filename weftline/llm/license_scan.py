@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ TEMPLATES = [
 
 
 def lowered(text: Column) -> Column:
-    """A-Z in lower case; other letters only where that makes no ASCII word differ."""
-    return F.lower(F.coalesce(text, F.lit("")))
+    """A-Z in lower case, all else as it is."""
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
 def words_of(text: Column) -> Column:
