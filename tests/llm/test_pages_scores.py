@@ -77,3 +77,34 @@ def test_scores_learn_and_hold_out(spark):
 def test_isotonic_fit():
     fit = quality_classifier.pool_adjacent(np.array([2, 0, 2, 2.0]), np.array([1, 0, 0, 2.0]))
     assert fit.tolist() == [0.25, 0.25, 0.25, 1.0]
+
+
+def test_scores_match_a_fit_in_plain_numpy(spark):
+    import zlib
+
+    import numpy as np
+
+    from weftline.llm import quality_classifier as qc
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r.doc_id: r for r in qc.score(docs.unionByName(docs.limit(3)), labels).collect()}
+    assert got.keys() == {r.doc_id for r in docs.select("doc_id").collect()}
+    rows = [(r.doc_id, qc.statistics_of(r.text or "")) for r in docs.collect()]
+    rows += rows[:0]
+    again = [r.doc_id for r in docs.limit(3).collect()]
+    every = np.array([x for _, x in rows] + [x for i, x in rows if i in again])
+    phi = qc.Features(every.mean(0), np.where(every.std(0) == 0, 1, every.std(0)), 192, 3.0, 7)
+    code = lambda i: zlib.crc32(str(i).encode())
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    train = [(i, x) for i, x in rows + [(i, x) for i, x in rows if i in again] if code(i) % 5 and i in label]
+    f, y, fold = phi(np.array([x for _, x in train])), np.array([label[i] for i, _ in train], float), np.array([code(i) // 5 % qc.INNER for i, _ in train])
+    fit = lambda keep: np.linalg.solve(f[keep].T @ f[keep] + 1e-3 * max(1, keep.sum()) * np.eye(193), f[keep].T @ y[keep])
+    raw = phi(np.array([x for _, x in rows])) @ fit(np.ones(len(y), bool))
+    assert np.allclose(raw, [got[i].ridge_score for i, _ in rows], atol=1e-6)
+    place = lambda s: np.clip(np.floor((s + 0.5) * (qc.BINS / 2)), 0, qc.BINS - 1).astype(int)
+    unseen = np.array([f[k] @ fit(fold != fold[k]) for k in range(len(y))])
+    total, positive = np.bincount(place(unseen), minlength=qc.BINS), np.bincount(place(unseen), y, qc.BINS)
+    table = qc.pool_adjacent(total.astype(float), positive)
+    want = table[place(raw)]
+    assert np.mean(np.isclose(want, [got[i].score for i, _ in rows], atol=1e-6)) > 0.99  # a sum's last digits may move a score to the next bin

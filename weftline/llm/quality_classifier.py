@@ -3,9 +3,9 @@
 Statistics of each text are standardised with means and deviations over all documents; random
 Fourier features approximate a Gaussian kernel over them. Each task adds up its share of the normal
 equations (one small matrix), shares meet in a few groups, and the driver solves one system whose
-size is fixed by the number of features. Training scores, counted in a fixed number of bins with
-their labels, give an isotonic calibration (pool adjacent violators), which turns a ridge score into
-a probability. Labels are learned only from rows outside the held-out fold; language, source, id and
+size is fixed by the number of features. Each training row is also scored by weights fitted without
+its part of the rows; these unseen scores, counted in a fixed number of bins with their labels, give an
+isotonic calibration (pool adjacent violators), which turns a ridge score into a probability. Labels are learned only from rows outside the held-out fold; language, source, id and
 labels are never features.
 
 Defined results: null and empty texts get the score of zero statistics; rows with a null id are
@@ -85,18 +85,21 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
-def _sum_shares(train: DataFrame, features, size: int, groups: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Normal equations over all rows: a share per task, summed in ``groups`` tasks, then on the driver (fixed size)."""
-    length = size * size + size
+def _sum_shares(train: DataFrame, features, size: int, folds: int, groups: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Normal equations of each fold: a share per task, summed in ``groups`` tasks, then on the driver (fixed size)."""
+    one = size * size + size
+    length = folds * one
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, any_rows = np.zeros(length), False
+        acc, any_rows = np.zeros((folds, one)), False
         for batch in batches:
             x = _matrix(batch, "x")
             if len(x):
-                f, y = features.value(x), batch.column("label").to_numpy().astype(float)
-                acc[: size * size] += (f.T @ f).ravel()
-                acc[size * size :] += f.T @ y
+                f, y, fold = features.value(x), batch.column("label").to_numpy().astype(float), batch.column("fold").to_numpy()
+                for k in np.unique(fold).tolist():
+                    g, z = f[fold == k], y[fold == k]
+                    acc[k, : size * size] += (g.T @ g).ravel()
+                    acc[k, size * size :] += g.T @ z
                 any_rows = True
         if any_rows:
             yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "share": pa.array([acc.tobytes()], pa.binary())})
@@ -111,8 +114,17 @@ def _sum_shares(train: DataFrame, features, size: int, groups: int = 8) -> tuple
             yield pa.RecordBatch.from_pydict({"share": pa.array([acc.tobytes()], pa.binary())})
 
     shares = train.mapInArrow(share, "slot int, share binary").repartition(groups, "slot").mapInArrow(add, "share binary").collect()  # at most `groups`
-    acc = np.sum([np.frombuffer(r["share"]) for r in shares], axis=0) if shares else np.zeros(length)
-    return acc[: size * size].reshape(size, size), acc[size * size :]
+    acc = (np.sum([np.frombuffer(r["share"]) for r in shares], axis=0) if shares else np.zeros(length)).reshape(folds, one)
+    return acc[:, : size * size].reshape(folds, size, size), acc[:, size * size :]
+
+
+def _solve(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights; the penalty grows with the rows, which the constant's own product counts."""
+    return np.linalg.solve(a + ridge * max(1.0, a[-1, -1]) * np.eye(len(a)), b)
+
+
+#: Parts of the training rows; each is scored by weights that were fitted on the others, and calibration sees these scores alone.
+INNER = 4
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = 192, width: float = 3.0, ridge: float = 1e-3, folds: int = 5, threshold: float = 0.3, seed: int = 7) -> DataFrame:
@@ -125,19 +137,25 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scale = np.array([moments[f"s{i}"] or 1.0 for i in range(STATISTICS)])
     phi = spark.sparkContext.broadcast(Features(mean, scale, features, width, seed))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    train = stage(rows.where(~held).join(known, "doc_id"), "train")
-    a, b = _sum_shares(train, phi, features + 1)
-    weights = np.linalg.solve(a + ridge * max(1.0, a[-1, -1]) * np.eye(features + 1), b)
-    w = spark.sparkContext.broadcast(weights)
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    train = stage(rows.where(~held).join(known, "doc_id").withColumn("fold", F.pmod(F.floor(code / folds), F.lit(INNER)).cast("int")), "train")
+    a, b = _sum_shares(train, phi, features + 1, INNER)
+    w = spark.sparkContext.broadcast(_solve(a.sum(0), b.sum(0), ridge))
+    others = spark.sparkContext.broadcast(np.stack([_solve(a.sum(0) - a[k], b.sum(0) - b[k], ridge) for k in range(INNER)]))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = phi.value(_matrix(batch, "x")) @ w.value
-            keep = [c for c in batch.schema.names if c != "x"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s)], names=[*keep, "ridge_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "ridge_score"])
+
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, fold = phi.value(_matrix(batch, "x")), batch.column("fold").to_numpy()
+            s = (f * others.value[fold]).sum(1) if len(f) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(s)], names=["label", "ridge_score"])
 
     bin_of = F.least(F.greatest(F.floor((F.col("ridge_score") + 0.5) * (BINS / 2)), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    counted = train.select("label", "x").mapInArrow(raw, "label int, ridge_score double").groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()  # at most BINS
+    counted = train.select("label", "x", "fold").mapInArrow(unseen, "label int, ridge_score double").groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()  # at most BINS
     total, positive = np.zeros(BINS), np.zeros(BINS)
     for r in counted:
         total[r["bin"]], positive[r["bin"]] = r["n"], r["p"]
