@@ -108,3 +108,50 @@ def test_scores_match_a_fit_in_plain_numpy(spark):
     table = qc.pool_adjacent(total.astype(float), positive)
     want = table[place(raw)]
     assert np.mean(np.isclose(want, [got[i].score for i, _ in rows], atol=1e-6)) > 0.99  # a sum's last digits may move a score to the next bin
+
+
+def test_deeply_nested_pages(spark):
+    from weftline.llm import html_extract as h
+
+    deep = "<div>" * 20_000 + "<p>inner text</p>" + "</div>" * 20_000
+    tokens, blocks = h.page_tokens(deep)
+    assert len(tokens) == 20_002 and [t for _, t in blocks] == ["inner text"]
+    rows = [(i, "http://a/x", deep + f"<p>own {i}</p>") for i in range(2)] + [(9, "http://a/x", "</span>" * 1000 + "<p>x</p>")]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "inner text\n\nown 0", 1: "inner text\n\nown 1", 9: "x"}
+
+
+def test_template_text_matches_brute_force(spark):
+    """Runs on three pages or more that a container around them shares, page by page and as often."""
+    import random
+
+    from weftline.llm import html_extract as h
+
+    r = random.Random(3)
+    phrases = [f"phrase {i}" for i in range(6)]
+    pages = []
+    for i in range(40):
+        parts = [f"<div class=a{r.randrange(3)}><section><p>{r.choice(phrases)}</p>" + "<p>Always here</p>" * r.choice([1, 1, 2]) + f"</section><p>own {i}</p></div>" for _ in range(r.randrange(1, 4))]
+        pages.append((i, f"http://h{i % 2}/p{i}", "<body><div class=top><p>Header line</p></div>" + "".join(parts) + "</body>"))
+    got = {x.page_id: x.text for x in h.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for host in (0, 1):
+        mine = [(i, *h.page_tokens(page)) for i, _, page in pages if i % 2 == host]
+        says = {}
+        for i, tokens, blocks in mine:
+            says.setdefault(tuple(t for _, t in blocks), (i, tokens))
+        vectors, up = {}, {}
+        for i, tokens in says.values():
+            for t in tokens:
+                vectors.setdefault(t["token"], {})[i] = t["count"]
+                up[t["token"]] = t["up"]
+        template = set()
+        for token, vector in vectors.items():
+            around = up[token]
+            if len(vector) >= 3 and any(t["run"] for _, tokens in says.values() for t in tokens if t["token"] == token):
+                while around:
+                    if vectors[around] == vector:
+                        template.add(token)
+                    around = up[around]
+        assert template
+        for i, _, blocks in mine:
+            assert got[i] == "\n\n".join(t for token, t in blocks if token not in template)

@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,10 +55,20 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:
 
 
 class Node:
-    __slots__ = ("path", "side", "main", "tag")
+    __slots__ = ("token", "up", "side", "main", "tag")
 
-    def __init__(self, path: str, side: bool, main: bool, tag: str):
-        self.path, self.side, self.main, self.tag = path, side, main, tag
+    def __init__(self, token: int, up: int, side: bool, main: bool, tag: str):
+        self.token, self.up, self.side, self.main, self.tag = token, up, side, main, tag
+
+
+def _digest(text: str, seed: int = 0) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed) - (1 << 63)
+
+
+#: The token of the page itself, around all containers.
+ROOT = _digest("")
 
 
 def _named(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
@@ -80,6 +92,7 @@ def _named(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
 def blocks_of(page: str) -> Iterator[tuple[str, Node | None, str]]:
     """('open'|'close', node, '') and ('text', innermost container, block text) in page order."""
     stack: list[Node] = []
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
     pos, size = 0, len(page)
 
@@ -123,16 +136,18 @@ def blocks_of(page: str) -> Iterator[tuple[str, Node | None, str]]:
             if text:
                 yield "text", here, text
             if here is not None and here.tag not in CONTAINERS and not closing:
+                opened[here.tag] -= 1
                 yield "close", stack.pop(), ""  # a block that is no container ends where the next one begins
                 here = stack[-1] if stack else None
         if closing:
-            if any(n.tag == tag for n in stack):
+            if opened[tag]:
                 if tag not in BREAKS:
                     text = flush()
                     if text:
                         yield "text", here, text
                 while stack:
                     node = stack.pop()
+                    opened[node.tag] -= 1
                     yield "close", node, ""
                     if node.tag == tag:
                         break
@@ -149,9 +164,10 @@ def blocks_of(page: str) -> Iterator[tuple[str, Node | None, str]]:
                 text = flush()
                 if text:
                     yield "text", here, text
-            path = f"{here.path}/{name}" if here else name
-            node = Node(path, side or (here is not None and here.side), in_main or tag in MAIN, tag)
+            up = here.token if here else ROOT
+            node = Node(_digest(name, seed=up & 0xFFFFFFFFFFFFFFFF), up, side or (here is not None and here.side), in_main or tag in MAIN, tag)
             stack.append(node)
+            opened[tag] += 1
             yield "open", node, ""
     text = flush()
     if text:
@@ -160,31 +176,25 @@ def blocks_of(page: str) -> Iterator[tuple[str, Node | None, str]]:
         yield "close", stack.pop(), ""
 
 
-def _digest(text: str, seed: int = 0) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed) - (1 << 63)
-
-
 def page_tokens(page: str) -> tuple[list[dict], list[tuple[int, str]]]:
-    """(tokens: token, count, path, up), (blocks of token, text), without those at the side. ``up`` are a container's tokens from the root to itself; a word run has its container's as ``path``."""
-    chains: dict[str, list[int]] = {"": [_digest("")]}
-    counts: dict[int, dict] = {chains[""][0]: {"token": chains[""][0], "count": 1, "path": 0, "up": chains[""]}}
+    """(tokens: token, count, up, run), (blocks of token, text), without those at the side.
+
+    A container's token stands for the names from the root to it, ``up`` is that of the container around it; a word
+    run's stands for its container and text, ``up`` is its container. So a page's tokens grow with the page,
+    however deep it nests.
+    """
+    counts: dict[int, dict] = {ROOT: {"token": ROOT, "count": 1, "up": 0, "run": False}}
     blocks = []
     for what, node, text in blocks_of(page):
         if what == "close" or (node is not None and node.side):
             continue
-        path = node.path if node is not None else ""
-        if path not in chains:
-            parts = path.split("/")
-            chains[path] = [chains[""][0], *(_digest("/".join(parts[: i + 1])) for i in range(len(parts)))]
-        here = chains[path][-1]
+        here = node.token if node is not None else ROOT
         if what == "open":
-            x = counts.setdefault(here, {"token": here, "count": 0, "path": 0, "up": chains[path]})
+            x = counts.setdefault(here, {"token": here, "count": 0, "up": node.up, "run": False})
         else:
             token = _digest(text, seed=here & 0xFFFFFFFFFFFFFFFF)
             blocks.append((token, text))
-            x = counts.setdefault(token, {"token": token, "count": 0, "path": here, "up": None})
+            x = counts.setdefault(token, {"token": token, "count": 0, "up": here, "run": True})
         x["count"] += 1
     return list(counts.values()), blocks
 
@@ -193,7 +203,7 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int32()), ("path", pa.int64()), ("up", pa.list_(pa.int64()))]))
+TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int32()), ("up", pa.int64()), ("run", pa.bool_())]))
 
 
 def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -212,19 +222,29 @@ def tokens_of(rows: DataFrame) -> DataFrame:
             says = [_digest("\0".join(text for _, text in blocks)) for _, blocks in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(says, pa.int64()), pa.array([t for t, _ in found], TOKENS)], names=["host", "key", "says", "tokens"])
 
-    return rows.select("host", "key", "html").mapInArrow(run, "host string, key binary, says long, tokens array<struct<token:long,count:int,path:long,up:array<long>>>")
+    return rows.select("host", "key", "html").mapInArrow(run, "host string, key binary, says long, tokens array<struct<token:long,count:int,up:long,run:boolean>>")
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, token: the word runs that are template text."""
+    """host, token: the word runs that are template text.
+
+    Every page with a run has all containers around it, so the containers that are on the run's pages alone are
+    the innermost ones. They are climbed from the run's own container until one is as often as the run.
+    """
     each = tokens.groupBy("host", "says").agg(F.min("key").alias("key"))
     each = tokens.join(each.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("host", "key", F.inline("tokens"))
-    vectors = each.groupBy("host", "token", "path", "up").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("key", "count")).alias("print")).where("pages > 1")
+    vectors = each.groupBy("host", "token", "up", "run").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("key", "count")).alias("print")).where("pages > 1")
     vectors = stage(vectors, "vectors")
-    containers = vectors.where("up is not null")
-    runs = vectors.where("up is null and pages >= 3").select("host", "token", "path", "pages", "print")
-    around = runs.join(containers.select("host", F.col("token").alias("path"), "up"), ["host", "path"]).select("host", "token", "pages", "print", F.explode("up").alias("container"))
-    return around.join(containers.select("host", F.col("token").alias("container"), "pages", "print"), ["host", "container", "pages", "print"]).select("host", "token").distinct()
+    containers = vectors.where("not run").select("host", F.col("token").alias("at"), F.col("pages").alias("at_pages"), F.col("print").alias("at_print"), F.col("up").alias("above"))
+    climbing = vectors.where("run and pages >= 3").select("host", "token", "pages", "print", F.col("up").alias("at"))
+    found = []
+    while True:
+        met = climbing.join(containers, ["host", "at"]).where("at_pages = pages")
+        met = stage(met.select("host", "token", "pages", "print", F.col("above").alias("at"), (F.col("at_print") == F.col("print")).alias("alike")), "climbing")
+        found.append(met.where("alike").select("host", "token"))
+        climbing = met.where("not alike and at <> 0").drop("alike")
+        if climbing.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -232,7 +252,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = keyed(pages, id_col, url_col, html_col)
     tokens = stage(tokens_of(rows), "tokens")
     held = stage(templates(tokens), "templates")
-    mine = tokens.select("key", "host", F.inline("tokens")).where("up is null")
+    mine = tokens.select("key", "host", F.inline("tokens")).where("run")
     # Staged, so that its size is known before pages are moved for the join.
     dropped = stage(mine.join(held, ["host", "token"], "left_semi").groupBy("key").agg(F.collect_set("token").alias("dropped")), "dropped")
 
