@@ -70,7 +70,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
+
+def _secrets_sql() -> str:
+    """Matches of each kind with their places: what lies between the matches is counted up."""
+
+    def found(kind: int) -> str:
+        name, pattern, group, least = secret_scan.KINDS[kind]
+        pattern = pattern.replace("'", "''")
+        return (
+            f"select doc_id, source, lang, {kind} as kind, '{name}' as name, {least} as least, regexp_extract_all(coalesce(text, ''), '{pattern}') as ws, "
+            f"regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) as vs, string_split_regex(coalesce(text, ''), '{pattern}') as bs from documents"
+        )
+
+    kinds = " union all ".join(found(k) for k in range(len(secret_scan.KINDS)))
+    return f"""
+        with f as ({kinds}),
+        e as (select doc_id, source, lang, kind, name, least, unnest(ws) as w, unnest(vs) as v, unnest(bs[1 : len(ws)]) as b, unnest(range(len(ws))) as i from f where len(ws) > 0),
+        p as (select *, sum(length(b) + length(w)) over (partition by doc_id, kind order by i) as fin from e),
+        h as (select *, cast(fin - length(w) as bigint) as start from p where length(v) >= least),
+        o as (select v, count(*) as owners from (select distinct v, source from h) group by v),
+        r as (select v, count(*) as repositories from (select distinct v, source, lang from h) group by v),
+        j as (select h.*, not (owners >= 3 or repositories >= 6) as live, name || ':' || start || ':' || cast(fin as bigint) as span from h join o using (v) join r using (v)),
+        g as (
+            select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+                string_agg(span, ',' order by start, kind) filter (kind < 3) as base, string_agg(span, ',' order by start, kind) filter (kind < 3 or live) as spans,
+                count(*) filter (live) as n_live, count(*) filter (not live) as n_example
+            from j group by doc_id
+        )
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+            coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+        from documents left join g using (doc_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": _secrets_sql(),
     "op5_quality_rules": rf"""
         with t as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') as ws from documents),
         pos as (select doc_id, unnest(range(1, len(ws) - 1)) as i, ws from t where len(ws) >= 3),
