@@ -4,10 +4,11 @@ import pytest
 from model_fixture import files_df, model_files
 from pyspark.sql import functions as F
 
+from weftline.functions import lexers
 from weftline.operators import binding
 from weftline.operators import model as md
-from weftline.operators.tables import written
-from weftline.plans import rendered
+from weftline.operators.tables import once, written
+from weftline.plans import rendered, scan
 from weftline.sources import apps, tmdl
 from weftline.sources.facts import parse_files
 
@@ -74,3 +75,41 @@ def test_references_are_read_once(spark):
     roots = binding.app_roots(lit, ix)
     assert "MapInArrow" not in plan(roots)
     assert {r.id.split("\u001f")[1] for r in roots.collect()} == {"table", "measure"}
+
+
+def test_findings_of_reports_do_not_wait_for_the_graph(spark):
+    """Broken bindings come from what reports name; edges, seeds and liveness are built when something asks for them."""
+    a = scan.analyse(parse_files(files_df(spark, model_files()), tmdl.parse), None, None)
+    assert scan.broken(a).count() == 0
+    assert not {"from_m", "edges", "seeds", "live", "objects"} & set(vars(a))
+    assert a.live.count() and a.live is a.live and "seeds" in vars(a)
+
+
+def test_rows_whose_keys_differ_are_not_moved(spark):
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("name"))
+    assert "Exchange" not in plan(once(rows, "id"))
+    again = rows.unionByName(rows.where("id % 10 = 0"))
+    assert once(again, "id").columns == ["id", "name"]
+    assert sorted(r.id for r in once(again, "id").collect()) == sorted(r.id for r in rows.collect())
+
+
+def test_a_role_that_filters_two_tables_alike_uses_both(spark):
+    text = b"table A\n\n\tcolumn Key\n\ntable B\n\n\tcolumn Key\n\nrole R\n\n\ttablePermission A = [Key] > 1\n\n\ttablePermission B = [Key] > 1\n"
+    m = md.Model(parse_files(files_df(spark, [("/w/M.SemanticModel", "m.tmdl", text)]), tmdl.parse))
+    edges = binding.dax_edges(binding.Dax(m, binding.Index(m)), m).where("prov = 'row_filter'")
+    assert sorted(r.dst.split("\u001f")[2] for r in edges.collect()) == ["a", "b"]
+
+
+def test_only_texts_that_activate_are_gathered(spark):
+    exprs = spark.createDataFrame([(1, "userelationship(A[x], B[y])"), (2, "SUM(A[x])")], "k int, text string")
+    assert [(r.k, r.table_a, r.column_b) for r in lexers.activations(exprs).collect()] == [(1, "A", "y")]
+    assert "USERELATIONSHIP" in [x for x in plan(lexers.activations(exprs)).splitlines() if "Filter" in x][-1]
+
+
+def test_models_of_some_kinds_say_what_whole_ones_say(spark):
+    files = files_df(spark, model_files())
+    of = lambda kinds: md.Model(parse_files(files, tmdl.parse, kinds))
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = of(None)
+    for kinds, ask in ((md.KINDS, md.objects), (md.DAX_KINDS, md.dax_expressions), (md.M_KINDS, md.m_expressions), (["relationship", "column"], md.filter_flows), (["relationship", "variation"], md.date_sources)):
+        assert rows(ask(of(kinds))) == rows(ask(whole))

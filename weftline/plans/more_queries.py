@@ -191,7 +191,7 @@ def storage_loaded_rows(spark, d):
 @query(f"{W}, {SIZES}, {mq.ALL} select kind, count(*) as objects, count(bytes) as sized, cast(sum(bytes) as bigint) as bytes from objects left join sizes using (id) group by kind")
 def storage_coverage(spark, d):
     sizes = md.storage(md.Model(archives.read_sizes(_sizes(spark, d))))
-    rows, _ = md.attach_storage(md.objects(mq._model(spark, d)), sizes)
+    rows, _ = md.attach_storage(md.objects(mq._model(spark, d, *md.KINDS)), sizes)
     return rows.groupBy("kind").agg(F.count("*").alias("objects"), F.count("bytes").alias("sized"), F.sum("bytes").alias("bytes"))
 
 
@@ -312,19 +312,19 @@ def duplicate_groups(spark, d):
 
 @query(f"{W}, o as (select model, 'T ' || k as name, 'table ''T ' || k || '''' as display, k from p) select model, name from o where lower(name) like 't 1%' or lower(display) like '%7'''")
 def ignored_objects(spark, d):
-    o = md.objects(mq._model(spark, d)).where("kind = 'table'")
+    o = md.objects(mq._model(spark, d, *md.KINDS)).where("kind = 'table'")
     return scan.ignored(o, ["T 1*", "*7'"]).select("model", "name")
 
 
 @query(W + f"select {mq.M_} as id, 'why ' || k as reason from p where k % 97 = 0")
 def kept_by_reasons(spark, d):
-    m = mq._model(spark, d)
+    m = mq._model(spark, d, *md.KINDS)
     return md.kept_by(m, md.objects(m).select("id"))
 
 
 @query(f"{W} select why, count(*) as seeds from (select {mq.ROLE} as id, 'role' as why from p where k < 20 union all select {mq.M_}, 'kept' from p where k % 97 = 0 union all select {mq.KEY}, 'root' from p where size >= 45) group by why")
 def scan_seeds(spark, d):
-    m = mq._model(spark, d)
+    m = mq._model(spark, d, *md.KINDS)
     p = rendered.parts(spark, d).where("size >= 45").withColumns({"t": rendered._t("T {k}"), "c": F.lit("Key")})
     return md.seeds(m, p.select(md.object_id("column", "t", "c").alias("id"))).groupBy("why").agg(F.count("*").alias("seeds"))
 
@@ -362,7 +362,7 @@ def app_breakage(spark, d):
 
 @query(f"{W} select {mq.M_} as owner, {mq._sid('relationship', chr(39) + 't ' + chr(39) + ' || k', chr(39) + 'key' + chr(39), chr(39) + 't ' + chr(39) + ' || n', chr(39) + 'key' + chr(39))} as target from p where n <= last and k % 2 = 0")
 def activated_relationships(spark, d):
-    m = mq._model(spark, d)
+    m = mq._model(spark, d, "relationship")
     p = rendered.parts(spark, d).where("k % 2 = 0").withColumns({"t": rendered._t("T {k}"), "m": rendered._t("M {k}")})
     exprs = p.select("model", md.object_id("measure", "t", "m").alias("owner"), rendered._t("CALCULATE([M {k}], USERELATIONSHIP('T {n}'[Key], 'T {k}'[Key]))").alias("text"))
     return binding.activated(exprs, m)
@@ -379,6 +379,6 @@ def opaque_sources(spark, d):
 @query(W + f"select {mq.T} as id, cast(1 as bigint) as n from p where size >= 45")
 def bound_tables(spark, d):
     """Tables that a bound member belongs to."""
-    objects = md.objects(mq._model(spark, d))
+    objects = md.objects(mq._model(spark, d, *md.KINDS))
     p = rendered.parts(spark, d).where("size >= 45").withColumns({"t": rendered._t("T {k}"), "m": rendered._t("M {k}")})
     return scan.owners_of(objects, p.select(md.object_id("measure", "t", "m").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
