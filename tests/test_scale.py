@@ -152,3 +152,14 @@ def test_models_of_some_kinds_say_what_whole_ones_say(spark):
     whole = of(None)
     for kinds, ask in ((md.KINDS, md.objects), (md.DAX_KINDS, md.dax_expressions), (md.M_KINDS, md.m_expressions), (["relationship", "column"], md.filter_flows), (["relationship", "variation"], md.date_sources)):
         assert rows(ask(of(kinds))) == rows(ask(whole))
+
+
+def test_statistics_that_are_asked_for_once_are_not_written(spark, tmp_path):
+    """What is read of the analyzer's documents goes on to the aggregate; it took two written tables on the way."""
+    from weftline.plans import more_queries as q
+
+    spark.range(50).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), (F.col("id") % 20).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    loaded = q.storage_loaded_rows(spark, str(tmp_path))
+    assert "MapInArrow" in plan(loaded) and "table-" not in plan(loaded)
+    assert "MapInArrow" in plan(q.storage_sizes(spark, str(tmp_path)))
+    assert {r.model: r.loaded for r in loaded.collect()} == {f"/w/m{i}.SemanticModel": i > 0 for i in range(20)}

@@ -168,13 +168,18 @@ def _sizes(spark, d):
     return p.select("model", F.concat(F.lit("/s/"), F.col("k").cast("string"), F.lit(".vpax")).alias("path"), doc.alias("doc")).mapInArrow(zipped, "model string, path string, content binary")
 
 
+def _statistics(spark, d):
+    """Models of the statistics alone. A query asks them for one kind of facts once, so neither these nor their typed table are written."""
+    return md.Model(archives.read_sizes(_sizes(spark, d)), materialise=False)
+
+
 SIZES = f"""sizes as (select {mq.KEY} as id, k as bytes, null as rows from p union all select {mq.BRAND}, 12 + size, null from p union all select {mq.H}, 7, null from p
     union all select {mq.T}, 19 + k + size, size from p union all select {mq._sid('relationship', "'t ' || k", "'key'", "'t ' || k", 'brand')}, 7, null from p where k % 2 = 0)"""
 
 
 @query(f"{W}, {SIZES} select id, bytes, rows from sizes")
 def storage_sizes(spark, d):
-    return md.storage(md.Model(archives.read_sizes(_sizes(spark, d)))).select("id", "bytes", "rows")
+    return md.storage(_statistics(spark, d)).select("id", "bytes", "rows")
 
 
 @query(W + "select model, 'malformed_value' as skip_kind, count(*) as n from p where k % 2 = 1 group by model")
@@ -185,7 +190,7 @@ def storage_notices(spark, d):
 
 @query(W + "select model, max(size) > 0 as loaded from p group by model")
 def storage_loaded_rows(spark, d):
-    return md.has_loaded_rows(md.Model(archives.read_sizes(_sizes(spark, d))))
+    return md.has_loaded_rows(_statistics(spark, d))
 
 
 @query(f"{W}, {SIZES}, {mq.ALL} select kind, count(*) as objects, count(bytes) as sized, cast(sum(bytes) as bigint) as bytes from objects left join sizes using (id) group by kind")
